@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chat_digests, format_chats
 from .exact import exact_duplicates
+from .html import extract
 from .lines import dedup_lines
 from .mixing import mix, word_count
 from .sharding import shard
@@ -43,6 +45,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat_digests(format_chats(turns.unionByName(more)))
+
+
 LINE_SQL = r"""
 WITH lined AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE coalesce(text, '') <> ''
@@ -79,14 +92,33 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, sha256(norm) AS text_sha256 FROM g
 """
 
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, regexp_replace(text, '([<\[]\\*)(\||/?s>|/?INST\]|/?SYS>>)', '\1\\\2', 'g') AS t,
+    regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '([<\[]\\*)(\||/?s>|/?INST\]|/?SYS>>)', '\1\\\2', 'g') AS r FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(r) + 1 + length(t) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_sharding": op2_sharding,
     "op5_line_dedup": op5_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": LINE_SQL,
     "op6_exact_dedup": EXACT_SQL,
+    "op10_chat_format": CHAT_SQL,
 }
