@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import cut, row_key
 
+#: Rows of a batch that is given back at once, by bytes of text.
+PIECE = 1 << 21
+
 
-def line_chunks(docs: DataFrame, divisor: int = 4) -> DataFrame:
-    """Columns of docs, lines (array) and chunks (array of first and last line, from 1).
+def line_chunks(lines: list[str], divisor: int = 4) -> list[tuple[int, int]]:
+    """Ranges of lines.
 
     A rolling hash over the hashes of three successive lines ends a chunk where it is divisible by divisor;
     so a line put in or taken out moves only the boundaries near it.  A line's hash is the first 28 bits of its MD5.
     """
-    text = F.coalesce("text", F.lit(""))
-    lined = docs.withColumn("lines", F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1)))
-    hashed = lined.withColumn("_h", F.expr("transform(lines, l -> cast(conv(substring(md5(l), 1, 7), 16, 10) as bigint))"))
-    rolling = "_h[i - 1] + if(i > 1, 31 * _h[i - 2], 0) + if(i > 2, 961 * _h[i - 3], 0)"
-    ended = hashed.withColumn("_e", F.expr(f"if(size(lines) = 0, cast(array() as array<int>), filter(sequence(1, size(lines)), i -> i = size(lines) or pmod({rolling}, {divisor}) = 0))"))
-    return ended.withColumn("chunks", F.expr("transform(_e, (e, k) -> named_struct('first', if(k = 0, 1, _e[k - 1] + 1), 'last', e))")).drop("_h", "_e")
+    out, first, before, last = [], 0, 0, 0
+    for i, line in enumerate(lines):
+        h = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
+        if i == len(lines) - 1 or (h + 31 * last + 961 * before) % divisor == 0:
+            out.append((first, i + 1))
+            first = i + 1
+        before, last = last, h
+    return out
+
+
+def _lines(text: str | None) -> list[str]:
+    return text.split("\n") if text else []
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows into batches of about PIECE bytes in the column width."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[width]) + 64
+        if size >= PIECE:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 def dedup_lines(docs: DataFrame, divisor: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,23 +55,43 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, doc_id: str = "doc_id", text:
     bytes occur elsewhere too, in any document, stays only where it occurs first (least doc_id, then place).
     A 64-bit hash finds candidates; then the chunks' own bytes are grouped, so a collision removes nothing.
     Null and empty texts have no lines.  A null doc_id comes first.  Rows equal in id and text count as one
-    place and share their fate.  Other columns are ignored; an empty table gives no rows.
+    place and share their fate.  Other columns are ignored; an empty table gives no rows.  doc_id is a long.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("rk", row_key())
-    cut_up = line_chunks(base, divisor)
-    chunk = cut_up.select("doc_id", "rk", "lines", F.posexplode("chunks").alias("k", "c")).where("c.last > c.first")
-    chunk = chunk.select("doc_id", "rk", "k", F.expr("array_join(slice(lines, c.first, c.last - c.first + 1), '\n')").alias("bytes"))
-    chunk = chunk.withColumn("h", F.xxhash64("bytes"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rk", row_key())
+    chunk_schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("k", pa.int32()), ("bytes", pa.string())])
+    out_schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_chunks_removed", pa.int64()), ("kept", pa.string())])
+
+    def chunks(batches):
+        def rows():
+            for batch in batches:
+                for doc, text, rk in zip(*batch.columns, strict=True):
+                    lines = _lines(text.as_py())
+                    for k, (a, b) in enumerate(line_chunks(lines, divisor)):
+                        if b - a > 1:
+                            yield doc.as_py(), rk.as_py(), k, "\n".join(lines[a:b])
+
+        return _batches(rows(), chunk_schema, 3)
+
+    def remove(batches):
+        def rows():
+            for batch in batches:
+                for doc, text, gone in zip(*batch.columns, strict=True):
+                    lines, gone = _lines(text.as_py()), set(gone.as_py() or ())
+                    if not gone:
+                        yield doc.as_py(), len(lines), 0, 0, text.as_py() or ""
+                        continue
+                    cuts = line_chunks(lines, divisor)
+                    kept = [line for k, (a, b) in enumerate(cuts) if k not in gone for line in lines[a:b]]
+                    yield doc.as_py(), len(lines), len(lines) - len(kept), len(gone), "\n".join(kept)
+
+        return _batches(rows(), out_schema, 4)
+
+    chunk = base.mapInArrow(chunks, "doc_id long, rk long, k int, bytes string").withColumn("h", F.xxhash64("bytes"))
     again = cut(chunk.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-hashes")
     again = cut(chunk.join(again, "h", "left_semi"), "line-chunks")
     place = F.struct("doc_id", "rk", "k")
     groups = again.groupBy("bytes").agg(F.min(place).alias("kept_at"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = again.join(groups, "bytes").where(~place.eqNullSafe(F.col("kept_at")))
-    gone = gone.groupBy("rk").agg(F.collect_set("k").alias("gone"))
-    out = cut_up.join(gone, "rk", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    left = "flatten(transform(filter(transform(chunks, (c, k) -> struct(c, k)), x -> not array_contains(gone, x.k)), x -> slice(lines, x.c.first, x.c.last - x.c.first + 1)))"
-    removed = "aggregate(gone, 0L, (s, k) -> s + chunks[k].last - chunks[k].first + 1)"
-    return out.select(
-        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.expr(removed).alias("n_removed"),
-        F.size("gone").cast("long").alias("n_chunks_removed"), F.array_join(F.expr(left), "\n").alias("kept"),
-    )
+    gone = cut(gone.groupBy("rk").agg(F.collect_set("k").alias("gone")), "line-gone")
+    joined = base.join(gone, "rk", "left").select("doc_id", "text", "gone")
+    return joined.mapInArrow(remove, "doc_id long, n_lines long, n_removed long, n_chunks_removed long, kept string")

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_digests, format_chats
+from .decontam import contamination
 from .exact import exact_duplicates
 from .html import extract
 from .lines import dedup_lines
-from .mixing import mix, word_count
+from .mixing import plan_copies, word_count
 from .sharding import shard
+from .toxicity import fit, score
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +24,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     slim = docs.select("doc_id", "source", "text")
-    from .mixing import plan_copies
-
     sized = slim.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("r", F.xxhash64("doc_id", "source", "size"))
     mixed = plan_copies(sized, (5, 2, 1), 1.5, 2.0)
     return mixed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
@@ -45,6 +45,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = fit(docs, _table(spark, sf_dir, "labels"))
+    scored = score(docs.select("doc_id", "text", "lang"), net)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("rejected"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -113,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op5_line_dedup": op5_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
     "op10_chat_format": op10_chat_format,
 }
