@@ -11,6 +11,7 @@ from .chat import chat_digests, format_chats
 from .decontam import contamination
 from .exact import exact_duplicates
 from .html import extract
+from .jaccard import jaccard_classes
 from .lines import dedup_lines
 from .mixing import plan_copies, word_count
 from .sharding import shard
@@ -36,6 +37,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -123,6 +128,7 @@ FROM escaped GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_sharding": op2_sharding,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_line_dedup": op5_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontamination": op7_decontamination,
