@@ -15,6 +15,7 @@ from .jaccard import jaccard_classes
 from .lines import dedup_lines
 from .mixing import plan_copies, word_count
 from .sharding import shard
+from .substring import remove_repeats
 from .toxicity import fit, score
 
 
@@ -37,6 +38,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(turns.unionByName(more)))
 
 
+SUBSTRING_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM words WHERE len(w) >= 35
+), hashed AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM windows
+), again AS (
+  SELECT doc_id, i FROM hashed WHERE h IN (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM again)
+), lists AS (
+  SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(js), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN js IS NULL THEN d.w ELSE list_filter(d.w, lambda x, k: NOT list_contains(js, k)) END, ' ')) AS kept_sha256
+FROM words d LEFT JOIN lists g ON d.doc_id = g.doc_id
+"""
+
 LINE_SQL = r"""
 WITH lined AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE coalesce(text, '') <> ''
@@ -128,6 +152,7 @@ FROM escaped GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_sharding": op2_sharding,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_line_dedup": op5_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
@@ -138,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": SUBSTRING_SQL,
     "op5_line_dedup": LINE_SQL,
     "op6_exact_dedup": EXACT_SQL,
     "op10_chat_format": CHAT_SQL,
