@@ -105,12 +105,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     slim = docs.select(*[F.col(k) for k in keys], "source", word_count(F.col("text")).alias("size"))
     slim = slim.withColumn("r", F.xxhash64(*keys, "source", "size"))
     placed = plan_copies(slim, weights, budget, most)
-    if set(names) <= {*keys, "source"}:
-        return placed.drop("r")
     keyed = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_r", F.xxhash64(*keys, "source", "_size"))
     one = placed.groupBy("r").agg(F.sum("copies").alias("sum_copies"), F.count("*").alias("rows"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     out = keyed.join(one, F.col("_r") == F.col("r"))
-    ranked = F.row_number().over(Window.partitionBy("_r").orderBy("_size")) - 1  # more than one row only where rows are equal
+    ranked = F.row_number().over(Window.partitionBy("_r").orderBy("_r")) - 1  # more than one row only where rows are equal
     base = F.floor(F.col("sum_copies") / F.col("rows"))
     copies = base + F.when(ranked < F.col("sum_copies") - base * F.col("rows"), 1).otherwise(0)
     return out.select(*names, F.col("_size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))

@@ -14,7 +14,7 @@ from .html import extract
 from .jaccard import jaccard_classes
 from .lines import dedup_lines
 from .mixing import plan_copies, word_count
-from .sharding import shard
+from .sharding import deal
 from .substring import remove_repeats
 from .toxicity import fit, score
 
@@ -34,7 +34,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     docs = _table(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    dealt = shard(docs, 40, key=F.xxhash64("doc_id", "text_crc32", "size"))
+    dealt = deal(docs, ["doc_id", "text_crc32", "size"], 40)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

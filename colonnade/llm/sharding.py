@@ -77,36 +77,46 @@ def communication_matrix(counts: DataFrame, blocks: int, sizes: list[int], seed:
     return node.select(F.col("first").cast("long").alias("block"), F.expr(starts).alias("starts"))
 
 
-def shard(docs: DataFrame, shards: int = 40, seed: int = 0, key: Column | None = None) -> DataFrame:
-    """docs with shard (0 to shards - 1) and slot (place in the shard, gapless from 0): a uniform shuffle.
+def deal(rows: DataFrame, key: list[str], shards: int = 40, seed: int = 0) -> DataFrame:
+    """rows with shard (0 to shards - 1) and slot (place in the shard, gapless from 0): a uniform shuffle.
 
     Shards' counts differ by one at most.  Rows are put into source blocks by a hash; the communication matrix
     says how many of each block's rows go to each shard; each block permutes its rows locally and deals them
-    out; each shard permutes what it has got.  Permutations sort by hashes of seed and key (by default all of
-    doc_id, text and source), so reruns agree.  Ranks are taken in blocks and ranges of bounded size, never in
-    a whole shard.  Rows with equal keys share a block and a range, whose sort may then spill.  Nulls are
-    keys like others; an empty table gives no rows.
+    out; each shard permutes what it has got.  Permutations sort by hashes of seed, key and the row's number
+    among the rows with its key, so reruns agree.  Ranks are taken in blocks and ranges of bounded size, never
+    in a whole shard.  Nulls are keys like others; rows with one key are numbered in one task; an empty table
+    gives no rows.
     """
-    key = F.xxhash64("doc_id", "text", "source") if key is None else key
-    names = docs.columns
-    slim = docs.withColumn("_k", key)
-    total = slim.count()
+    names = rows.columns
+    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
+    slim = numbered.withColumn("_k", F.xxhash64(*key, "_n")).withColumn("_l", F.xxhash64("_n", *reversed(key))).drop("_n")
+    total = rows.count()
     blocks = max(1, min(MOST_BLOCKS, math.ceil(total / BLOCK_ROWS)))
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     slim = slim.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "_k"), F.lit(blocks)))
     matrix = cut(communication_matrix(slim.groupBy(F.col("_b").alias("block")).agg(F.count("*").alias("c")), blocks, sizes, seed), "matrix")
-    local = Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + 1), "_k"), "_k")
+    local = Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + 1), "_k"), "_l")
     dealt = slim.withColumn("_j", F.row_number().over(local) - 1)
     dealt = dealt.join(F.broadcast(matrix.withColumnRenamed("block", "_b")), "_b")  # MOST_BLOCKS x shards numbers at most
     dealt = dealt.withColumn("shard", F.expr("size(filter(starts, x -> x <= _j)) - 1")).drop("starts", "_j", "_b")
     # Second permutation: ranges of a random key, ranked each on its own, behind the ranges before them.
     ranges = max(1, math.ceil(total / shards / RANGE_ROWS))
     dealt = dealt.withColumn("_r", F.xxhash64(F.lit(seed + 2), "_k"))
-    dealt = dealt.withColumn("_p", F.floor((F.col("_r") / F.lit(2.0**64) + 0.5) * ranges).cast("int"))
-    if ranges == 1:
-        return dealt.withColumn("slot", (F.row_number().over(Window.partitionBy("shard").orderBy("_r", "_k")) - 1).cast("long")).select(*names, "shard", "slot")
-    dealt = cut(dealt, "dealt")
+    dealt = cut(dealt.withColumn("_p", F.floor((F.col("_r") / F.lit(2.0**64) + 0.5) * ranges).cast("int")), "dealt")
     before = Window.partitionBy("shard").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     ahead = dealt.groupBy("shard", "_p").agg(F.count("*").alias("c")).select("shard", "_p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("ahead"))
-    slot = F.row_number().over(Window.partitionBy("shard", "_p").orderBy("_r", "_k")) - 1
+    slot = F.row_number().over(Window.partitionBy("shard", "_p").orderBy("_r", "_l")) - 1
     return dealt.withColumn("_i", slot).join(ahead, ["shard", "_p"]).select(*names, "shard", (F.col("_i") + F.col("ahead")).cast("long").alias("slot"))
+
+
+def shard(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
+    """docs with shard and slot, as by deal(): places are dealt to slim rows, 128 bits of hash of all columns.
+
+    The rows themselves are shuffled once, to meet their places; equal rows take the places of their key in turn.
+    """
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    keyed = docs.select(*names, F.xxhash64(F.lit(1), *names).alias("_1"), F.xxhash64(F.lit(2), *names).alias("_2"))
+    number = F.row_number().over(Window.partitionBy("_1", "_2").orderBy("_1"))
+    places = deal(keyed.select("_1", "_2"), ["_1", "_2"], shards, seed).withColumn("_n", number)
+    rows = keyed.withColumn("_m", number)
+    return rows.join(places, ["_1", "_2"]).where("_m = _n").select(*names, "shard", "slot")
