@@ -122,7 +122,7 @@ per_row("arith_div", "lineitem", LINE_KEYS, lambda: {"whole": _shown(arith.div(c
 per_row("arith_rem", "lineitem", LINE_KEYS, lambda: {"whole": arith.rem(c("l_partkey") - 1000, F.lit(7).cast("long"), ("i64", "i64")), "real": arith.rem(c("l_quantity"), F.lit(7.0), ("f64", "f64"))}, "(l_partkey - 1000) % 7 AS whole, l_quantity % 7.0::DOUBLE AS real")
 per_row("arith_neg", "lineitem", LINE_KEYS, lambda: {"whole": arith.neg_wrapping(_i32(), "i32"), "real": arith.neg_wrapping(c("l_quantity"), "f64")}, f"{_wrapped(f'-({_I32}::HUGEINT)', 32)}::INTEGER AS whole, -l_quantity AS real")
 per_row("arith_abs", "customer", "c_custkey", lambda: {"whole": arith.absolute(c("c_acctbal").cast("long"), "i64"), "real": arith.absolute(c("c_acctbal"), "f64")}, "abs(trunc(c_acctbal)::BIGINT) AS whole, abs(c_acctbal) AS real")
-per_row("arith_sqrt", "lineitem", LINE_KEYS, lambda: {"root": F.round(arith.sqrt(c("l_extendedprice"), "f64"), 6), "whole": F.round(arith.sqrt(c("l_partkey"), "i64"), 6)}, "round(sqrt(l_extendedprice), 6) AS root, round(sqrt(l_partkey), 6) AS whole")
+per_row("arith_sqrt", "lineitem", LINE_KEYS, lambda: {"root": F.floor(arith.sqrt(c("l_extendedprice"), "f64") * 1000000), "whole": F.floor(arith.sqrt(c("l_partkey"), "i64") * 1000000)}, "floor(sqrt(l_extendedprice) * 1000000)::BIGINT AS root, floor(sqrt(l_partkey) * 1000000)::BIGINT AS whole")
 per_row("ext_bitwise", "lineitem", LINE_KEYS, lambda: {"a": arith.bit_and(c("l_partkey"), c("l_suppkey")), "o": arith.bit_or(c("l_partkey"), c("l_suppkey")), "x": arith.bit_xor(c("l_partkey"), c("l_suppkey")), "n": arith.bit_not(c("l_partkey")), "l": arith.shift_left(c("l_partkey"), 3), "r": arith.shift_right(c("l_partkey"), 2)}, "l_partkey & l_suppkey AS a, l_partkey | l_suppkey AS o, xor(l_partkey, l_suppkey) AS x, ~l_partkey AS n, l_partkey << 3 AS l, l_partkey >> 2 AS r")
 per_row("ext_fixed_point", "lineitem", LINE_KEYS, lambda: {"v": arith.multiply_fixed_point(c("l_extendedprice").cast("decimal(15,2)"), F.lit("1.25").cast("decimal(3,2)"), 18, 4).cast("double")}, "(l_extendedprice::DECIMAL(15,2) * 1.25::DECIMAL(3,2))::DECIMAL(18,4)::DOUBLE AS v")
 
@@ -368,12 +368,15 @@ def agg_merge_most_recent(spark, sf_dir):
 _QUERY = [round(((k * 37) % 64) / 32 - 1, 4) for k in range(64)]
 _QUERY_SQL = "[" + ", ".join(f"{x}::DOUBLE" for x in _QUERY) + "]"
 per_row("list_len", "embeddings", "vec_id", lambda: {"n": lists.list_len(c("embedding")), "none": _shown(lists.list_len(F.when(c("vec_id") < 0, c("embedding"))), "long")}, "len(embedding) AS n, -1::BIGINT AS none")
-per_row("ext_list_sum", "embeddings", "vec_id", lambda: {"s": F.round(lists.list_sum(c("embedding")), 4)}, "round(list_sum(embedding::DOUBLE[]), 4) AS s")
-per_row("vec_dot", "embeddings", "vec_id", lambda: {"d": F.round(vec.dot(vec.literal(_QUERY, "double"), c("embedding"), "double"), 5)}, f"round(list_inner_product(embedding::DOUBLE[], {_QUERY_SQL}), 5) AS d")
-per_row("vec_norm", "embeddings", "vec_id", lambda: {"v": F.transform(vec.norm(c("embedding"), "double"), lambda x: F.round(x, 5))}, "list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5)) AS v")
+# Doubles are summed in the lists' order on either side, and shown as whole numbers of a small unit.
+_SQUARES = "list_reduce(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE), lambda a, b: a + b)"
+_PRODUCTS = f"list_reduce(list_transform(list_zip(embedding::DOUBLE[], {_QUERY_SQL}), lambda z: z[2] * z[1]), lambda a, b: a + b)"
+per_row("ext_list_sum", "embeddings", "vec_id", lambda: {"s": F.floor(lists.list_sum(c("embedding")) * 10000)}, "floor(list_reduce(embedding::DOUBLE[], lambda a, b: a + b) * 10000)::BIGINT AS s")
+per_row("vec_dot", "embeddings", "vec_id", lambda: {"d": F.floor(vec.dot(vec.literal(_QUERY, "double"), c("embedding"), "double") * 100000)}, f"floor({_PRODUCTS} * 100000)::BIGINT AS d")
+per_row("vec_norm", "embeddings", "vec_id", lambda: {"v": F.transform(vec.norm(c("embedding"), "double"), lambda x: F.floor(x * 100000))}, f"list_transform(embedding, lambda x: floor(x::DOUBLE / sqrt({_SQUARES}) * 100000)::BIGINT) AS v")
 
 
-@query(f"SELECT vec_id AS index FROM embeddings ORDER BY list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) - 2 * list_inner_product(embedding::DOUBLE[], {_QUERY_SQL}), vec_id LIMIT 1")
+@query(f"SELECT vec_id AS index FROM embeddings ORDER BY {_SQUARES} - 2 * {_PRODUCTS}, vec_id LIMIT 1")
 def vec_nearest(spark, sf_dir):
     return vec.nearest_neighbor(table(spark, sf_dir, "embeddings"), _QUERY, "embedding", "vec_id")
 
