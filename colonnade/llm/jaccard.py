@@ -81,11 +81,11 @@ def fewest_matches(threshold: float, tolerance: float, count: int = BANDS * ROWS
     return out
 
 
-def similar(left: list[np.ndarray], right: list[np.ndarray], same: bool, threshold: float, tolerance: float) -> list[tuple[int, int]]:
+def similar(left: list[np.ndarray], right: list[np.ndarray], same: bool, threshold: float, steps: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Pairs (i, j) of sets with Jaccard similarity of at least threshold (i < j where both sides are one).
 
     MinHash values are compared step by step, all pairs that are left at once; Bayesian pruning drops pairs
-    early, and what remains is decided exactly on the sets.
+    early by the steps of fewest_matches(), and what remains is decided exactly on the sets.
     """
     hashes = []
     for sets in (left, left if same else right):
@@ -98,7 +98,7 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], same: bool, thresho
         open_ = np.triu(open_, 1)
     i, j = np.nonzero(open_)
     matches, done = np.zeros(len(i), np.int32), 0
-    for n, least in fewest_matches(threshold, tolerance):
+    for n, least in steps:
         matches += (a[i, done:n] == b[j, done:n]).sum(1, dtype=np.int32)
         done = n
         left_in = matches >= least
@@ -123,6 +123,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     blocks.  Within a component all pairs are compared, also those that share no band.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rk", row_key())
+    steps = fewest_matches(threshold, tolerance)
     signed = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
         (ids, copies, left), (other, weights, right) = sides
         links: dict[int, int] = {}
         least: dict[int, int] = {}
-        for i, j in similar(left, right, low == high, threshold, tolerance):
+        for i, j in similar(left, right, low == high, threshold, steps):
             a, b = int(ids[i]), int(other[j])
             links[a] = links.get(a, 0) + int(weights[j])
             links[b] = links.get(b, 0) + int(copies[i])
@@ -218,4 +219,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     rows, links = near_duplicates(docs, **options)
     rooted = rows.join(links.select("cid", "root"), "cid", "left").select("rk", "doc_id", F.coalesce("root", "cid").alias("root"))
     best = rooted.groupBy("root").agg(F.min_by("rk", F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("_rk")).select("_rk")
-    return docs.withColumn("_rk", row_key()).join(best, "_rk", "left_semi").dropDuplicates(["_rk"]).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_rk"))
+    return packed.join(best, "_rk", "left_semi").dropDuplicates(["_rk"]).select("row.*")
