@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import row_key
 from ._text import Words, binary, grams, mix64, slices
 
 #: Items of one broadcast block: about 1 MB of word hashes.  A larger benchmark takes several passes.
@@ -255,8 +256,6 @@ def search_block(rows: DataFrame, block: list, share: float, recall: float, bits
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold a passage of an item.  Rows with a null doc_id are judged by their text."""
-    from ._shared import row_key
-
-    keyed = docs.withColumn("_rk", row_key())
-    hits = contamination(keyed.select("_rk", "text"), benchmark, doc_id="_rk", **options).select(F.col("doc_id").alias("_rk")).distinct()
-    return keyed.join(hits, "_rk", "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_rk"))
+    hits = contamination(keyed.select("_rk", "row.text"), benchmark, doc_id="_rk", **options).select(F.col("doc_id").alias("_rk")).distinct()
+    return keyed.join(hits, "_rk", "left_anti").select("row.*")

@@ -100,18 +100,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     sizes, blocks of rows) so that no task gets a whole source.  Rows are ranked by a hash of keys and size,
     so reruns agree, and rows that are equal in both are interchangeable.  Null text has size 0; a document
     of size 0 adds no tokens and is taken once.  Null is a source of its own; an empty table gives no rows.
+    Columns of docs with the names of the four are replaced.
     """
-    names = docs.columns
-    slim = docs.select(*[F.col(k) for k in keys], "source", word_count(F.col("text")).alias("size"))
-    slim = slim.withColumn("r", F.xxhash64(*keys, "source", "size"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column's name can clash
+    own = [F.col(f"row.{k}") for k in keys]
+    slim = packed.select(F.col("row.source").alias("source"), word_count(F.col("row.text")).alias("size"), *[k.alias(f"key{i}") for i, k in enumerate(own)])
+    slim = slim.select("source", "size", F.xxhash64(*[f"key{i}" for i in range(len(keys))], "source", "size").alias("r"))
     placed = plan_copies(slim, weights, budget, most)
-    keyed = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_r", F.xxhash64(*keys, "source", "_size"))
-    one = placed.groupBy("r").agg(F.sum("copies").alias("sum_copies"), F.count("*").alias("rows"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    keyed = packed.withColumn("size", word_count(F.col("row.text"))).withColumn("_r", F.xxhash64(*own, "row.source", "size"))
+    one = placed.groupBy("r").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     out = keyed.join(one, F.col("_r") == F.col("r"))
-    ranked = F.row_number().over(Window.partitionBy("_r").orderBy("_r")) - 1  # more than one row only where rows are equal
-    base = F.floor(F.col("sum_copies") / F.col("rows"))
-    copies = base + F.when(ranked < F.col("sum_copies") - base * F.col("rows"), 1).otherwise(0)
-    return out.select(*names, F.col("_size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
+    ranked = F.row_number().over(Window.partitionBy("_r").orderBy("_r")) - 1  # more than one row only where rows are equal in keys, source and size
+    base = F.floor(F.col("all") / F.col("rows"))
+    copies = base + F.when(ranked < F.col("all") - base * F.col("rows"), 1).otherwise(0)
+    added = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies.cast("long")}
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
 def plan_copies(slim: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:

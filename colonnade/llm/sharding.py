@@ -114,9 +114,9 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
 
     The rows themselves are shuffled once, to meet their places; equal rows take the places of their key in turn.
     """
-    names = [c for c in docs.columns if c not in ("shard", "slot")]
-    keyed = docs.select(*names, F.xxhash64(F.lit(1), *names).alias("_1"), F.xxhash64(F.lit(2), *names).alias("_2"))
+    names = [c for c in docs.columns if c not in ("shard", "slot")]  # these are replaced
+    keyed = docs.select(F.struct(*names).alias("row")).select("row", F.xxhash64(F.lit(1), "row").alias("_1"), F.xxhash64(F.lit(2), "row").alias("_2"))
     number = F.row_number().over(Window.partitionBy("_1", "_2").orderBy("_1"))
     places = deal(keyed.select("_1", "_2"), ["_1", "_2"], shards, seed).withColumn("_n", number)
     rows = keyed.withColumn("_m", number)
-    return rows.join(places, ["_1", "_2"]).where("_m = _n").select(*names, "shard", "slot")
+    return rows.join(places, ["_1", "_2"]).where("_m = _n").select(*[F.col("row")[c].alias(c) for c in names], "shard", "slot")

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._text import Words, binary, slices
 
@@ -232,7 +233,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 columns = [some.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*names, "score"])
 
-    out = rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double")
+    out = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
     if "lang" not in names:
         return out
     if not net.thresholds:
