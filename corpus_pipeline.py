@@ -19,7 +19,8 @@ from colonnade.llm.toxicity import fit, score
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below their language's threshold."""
     net = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, net).where("score < threshold").select(*docs.columns)
+    packed = docs.select("text", "lang", F.struct(*docs.columns).alias("row"))
+    return score(packed, net).where("score < threshold").select("row.*")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    mixed = mix(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
+    return mix(packed).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
