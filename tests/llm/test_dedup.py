@@ -150,10 +150,12 @@ def test_pruning_keeps_pairs_at_the_threshold():
     for _ in range(150):
         x = np.unique(rng.integers(0, 1 << 62, 180, dtype=np.uint64))
         a, b = np.sort(x[:162]), np.sort(x[18:])[: 162]
-        kept += jaccard.similar([a], [np.sort(np.concatenate([a[:144], b[-18:]]))], False, 0.8, steps) == [(0, 0)]
+        sides = [a], [np.sort(np.concatenate([a[:144], b[-18:]]))]
+        kept += jaccard.similar(*sides, *map(jaccard.sign_sets, sides), False, 0.8, steps) == [(0, 0)]
     assert kept == 150
     far = np.unique(rng.integers(0, 1 << 62, 100, dtype=np.uint64))
-    assert jaccard.similar([far, far + np.uint64(1)], [], True, 0.8, steps) == []
+    sets = [far, far + np.uint64(1)]
+    assert jaccard.similar(sets, sets, *[jaccard.sign_sets(sets)] * 2, True, 0.8, steps) == []
 
 
 def test_repeated_rows_are_documents(spark):
