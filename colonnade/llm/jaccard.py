@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,17 +80,17 @@ def fewest_matches(threshold: float, tolerance: float, count: int = BANDS * ROWS
     return out
 
 
-def similar(left: list[np.ndarray], right: list[np.ndarray], same: bool, threshold: float, steps: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def sign_sets(sets: list[np.ndarray]) -> np.ndarray:
+    return min_hashes(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64))
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray, b: np.ndarray, same: bool, threshold: float, steps: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Pairs (i, j) of sets with Jaccard similarity of at least threshold (i < j where both sides are one).
 
-    MinHash values are compared step by step, all pairs that are left at once; Bayesian pruning drops pairs
+    a and b are the sides' MinHash values.  They are compared step by step, all pairs that are left at once; Bayesian pruning drops pairs
     early by the steps of fewest_matches(), and what remains is decided exactly on the sets.
     """
-    hashes = []
-    for sets in (left, left if same else right):
-        hashes.append(min_hashes(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)))
-    a, b = hashes
-    sizes = np.array([len(s) for s in left]), np.array([len(s) for s in (left if same else right)])
+    sizes = np.array([len(s) for s in left]), np.array([len(s) for s in right])
     small, large = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
     open_ = small >= threshold * large - 1e-9
     if same:
@@ -104,7 +103,6 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], same: bool, thresho
         left_in = matches >= least
         i, j, matches = i[left_in], j[left_in], matches[left_in]
     out = []
-    right = left if same else right
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         common = len(np.intersect1d(left[x], right[y], assume_unique=True))
         if common >= threshold * (len(left[x]) + len(right[y]) - common) - 1e-9:
@@ -164,30 +162,53 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     texts = texts.select("root", "low", "high", "block", "cid", "copies", "text")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
-        sides = []
-        for block in (low, high):
-            side = group[group["block"] == block].sort_values("cid")
-            values, first = shingles(pa.array(side["text"], pa.string()), n)
-            sides.append((side["cid"].to_numpy(), side["copies"].to_numpy(), [values[a:b] for a, b in zip(first, first[1:], strict=False)]))
-        (ids, copies, left), (other, weights, right) = sides
+    texts = texts.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "block", "cid")
+    link_schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("up", pa.int64())])
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int, int]]:
+        """One pair of blocks: rows (block, cid, copies, set, MinHash values) to (cid, links, a node that it is joined to)."""
+        low, high = rows[0][5], rows[0][6]
+        sides = [[r for r in rows if r[0] == block] for block in (low, high)]
+        if not (sides[0] and sides[1]):
+            return []
+        left, right = ([r[3] for r in side] for side in sides)
+        a, b = (np.stack([r[4] for r in side]) for side in sides)
         links: dict[int, int] = {}
         least: dict[int, int] = {}
-        for i, j in similar(left, right, low == high, threshold, steps):
-            a, b = int(ids[i]), int(other[j])
-            links[a] = links.get(a, 0) + int(weights[j])
-            links[b] = links.get(b, 0) + int(copies[i])
+        for i, j in similar(left, right, a, b, low == high, threshold, steps):
+            x, y = sides[0][i], sides[1][j]
+            links[x[1]] = links.get(x[1], 0) + y[2]
+            links[y[1]] = links.get(y[1], 0) + x[2]
             # A forest over the block pair's links (union by least name), so a component's edges stay few.
-            while least.get(a, a) != a:
-                a = least[a]
-            while least.get(b, b) != b:
-                b = least[b]
-            least[max(a, b)] = min(a, b)
-        return pd.DataFrame({"cid": list(links), "links": list(links.values()), "up": [least.get(c, c) for c in links]}, dtype="int64")
-
-    verified = cut(texts.groupBy("root", "low", "high").applyInPandas(compare, "cid long, links long, up long"), "links")
+            x, y = x[1], y[1]
+            while least.get(x, x) != x:
+                x = least[x]
+            while least.get(y, y) != y:
+                y = least[y]
+            least[max(x, y)] = min(x, y)
+        return [(c, n, least.get(c, c)) for c, n in links.items()]
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups follow each other in a partition; shingles and MinHash values are computed for many groups at once."""
+        key, held, out = None, [], []
+        for batch in batches:
+            for some in slices(batch, "text"):
+                values, first = shingles(some.column("text"), n)
+                hashes = min_hashes(values, first)
+                columns = [some.column(c).to_pylist() for c in ("root", "low", "high", "block", "cid", "copies")]
+                for k, (root, low, high, block, cid, copies) in enumerate(zip(*columns, strict=True)):
+                    if (root, low, high) != key:
+                        out += compare(held) if len(held) > 1 else []
+                        key, held = (root, low, high), []
+                    held.append((block, cid, copies, values[first[k] : first[k + 1]].copy(), hashes[k].copy(), low, high))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=link_schema)
+                    out = []
+        out += compare(held) if len(held) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=link_schema)
+
+    verified = cut(texts.mapInArrow(verify, "cid long, links long, up long"), "links")
     linked = verified.groupBy("cid").agg(F.sum("links").alias("n_links"))
     roots = components(verified.select("cid", "up"), "cid", "up")
     return rows, linked.join(roots, F.col("cid") == F.col("node")).select("cid", "n_links", "root")

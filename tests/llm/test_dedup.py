@@ -6,9 +6,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from colonnade.llm import jaccard
+from colonnade.llm import jaccard, substring
 from colonnade.llm.exact import exact_duplicates, radix_groups
 from colonnade.llm.jaccard import jaccard_classes, keep_one
 from colonnade.llm.lines import dedup_lines, line_chunks
@@ -84,15 +86,30 @@ def plain_removal(texts, width):
     return out
 
 
-@pytest.mark.parametrize("width", [10, 35])
-def test_substring(docs, none, corpus, width):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 2), max_size=25), st.integers(1, 2)), max_size=5), st.integers(1, 6))
+def test_automaton(parts, width):
+    automaton, seen = substring.SuffixAutomaton(), Counter()
+    for symbols, weight in parts:
+        automaton.add(symbols, weight)
+        seen.update(Counter(tuple(symbols[k : k + width]) for k in range(len(symbols) - width + 1) for _ in range(weight)))
+    automaton.finish()
+    for symbols, _ in [*parts, ([0, 1, 2, 0, 1, 9, 1, 0, 0], 1)]:
+        assert automaton.repeated(symbols, width) == [k for k in range(len(symbols) - width + 1) if seen[tuple(symbols[k : k + width])] > 1]
+
+
+@pytest.mark.parametrize("width, runs", [(10, 256), (35, 256), (10, 2), (35, 1)])
+def test_substring(docs, none, corpus, width, runs, monkeypatch):
+    monkeypatch.setattr(substring, "SHARD_RUNS", runs)
     want = Counter((d, *x) for (d, *_), x in zip(corpus, plain_removal([t for _, t, *_ in corpus], width)))
     assert Counter(map(tuple, remove_repeats(docs, width).collect())) == want
     assert sum(x[2] * n for x, n in want.items()) > 1000
     assert remove_repeats(none, width).count() == 0
 
 
-def test_substring_overlaps(spark):
+@pytest.mark.parametrize("runs", [256, 2])
+def test_substring_overlaps(spark, runs, monkeypatch):
+    monkeypatch.setattr(substring, "SHARD_RUNS", runs)
     rng = np.random.default_rng(0)
     texts = [" ".join(map(str, rng.integers(0, 3, rng.integers(0, 60)))) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
