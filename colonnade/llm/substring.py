@@ -23,6 +23,78 @@ _GAPS = re.compile(rb"[ \t-\r]+")
 PIECE = 1 << 20
 
 
+#: Different runs with one anchor that one automaton takes; a run has fewer than 2 * width words.
+SHARD_RUNS = 256
+
+
+class SuffixAutomaton:
+    """All substrings of several sequences, each with the number of places where it ends."""
+
+    def __init__(self):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length, self.count = [-1], [0], [0]
+
+    def _state(self, next_: dict[int, int], length: int, link: int) -> int:
+        self.next.append(next_)
+        self.length.append(length)
+        self.link.append(link)
+        self.count.append(0)
+        return len(self.length) - 1
+
+    def _follow(self, p: int, symbol: int) -> int:
+        """The state of p's longest string with the symbol behind it, made its own where it shares one."""
+        next_, length, link = self.next, self.length, self.link
+        q = next_[p][symbol]
+        if length[q] == length[p] + 1:
+            return q
+        own = self._state(dict(next_[q]), length[p] + 1, link[q])
+        link[q] = own
+        while p >= 0 and next_[p].get(symbol) == q:
+            next_[p][symbol] = own
+            p = link[p]
+        return own
+
+    def add(self, symbols: list[int], weight: int = 1) -> None:
+        """One more sequence, which counts weight times."""
+        next_, link = self.next, self.link
+        last = 0
+        for symbol in symbols:
+            if symbol in next_[last]:
+                last = self._follow(last, symbol)
+            else:
+                new, p = self._state({}, self.length[last] + 1, 0), last
+                while p >= 0 and symbol not in next_[p]:
+                    next_[p][symbol] = new
+                    p = link[p]
+                link[new] = self._follow(p, symbol) if p >= 0 else 0
+                last = new
+            self.count[last] += weight
+
+    def finish(self) -> None:
+        """Places of a string are places of its suffixes."""
+        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
+            if self.link[state] > 0:
+                self.count[self.link[state]] += self.count[state]
+
+    def repeated(self, symbols: list[int], width: int) -> list[int]:
+        """Begins of the windows of width symbols that end at two places or more: matching statistics, kept at width."""
+        next_, link, length, count = self.next, self.link, self.length, self.count
+        out, state, matched = [], 0, 0
+        for i, symbol in enumerate(symbols):
+            while state and symbol not in next_[state]:
+                state = link[state]
+                matched = length[state]
+            if symbol in next_[state]:
+                state = next_[state][symbol]
+                matched += 1
+            while state and length[link[state]] >= width:
+                state = link[state]
+                matched = length[state]
+            if matched >= width and count[state] > 1:
+                out.append(i - width + 1)
+        return out
+
+
 class Windows:
     """All windows of `width` words in texts, by hash."""
 
@@ -83,10 +155,13 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 def repeated_spans(keyed: DataFrame, width: int) -> DataFrame:
     """keyed (rk, text) to (rk, spans): the document's windows, as (first, n), whose words occur elsewhere too.
 
-    Windows with one anchor that follow each other form a run of about (width - ANCHOR) / 2 windows.  A run
-    whose words all occur again (equal anchor and hash of all its words) is repeated as a whole.  Where
-    different runs have one anchor, single windows decide, of one run each; a run that is repeated weighs two.
-    All of it counts hashes of 128 bits with map-side sums: no group of occurrences is ever gathered.
+    Windows with one anchor that follow each other form a run of about (width - ANCHOR) / 2 windows; equal
+    windows have one anchor, so runs meet at it.  A run whose words all occur again (equal anchor and hash of
+    all its words) is repeated as a whole.  Where an anchor has different runs, these are a shard of reference
+    text: a suffix automaton is built of them, each run streams through it, and windows with matching
+    statistics of width or more at two places are repeated.  An anchor with more than SHARD_RUNS different
+    runs (a common phrase in all sorts of company) has no automaton; its windows are counted by 128 bits of
+    hash, with map-side sums.  So no task holds more than a bounded group.
     """
     run_schema = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("rk", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
 
@@ -103,29 +178,66 @@ def repeated_spans(keyed: DataFrame, width: int) -> DataFrame:
     kinds = cut(every.groupBy("h", "r").agg(F.count("*").alias("c"), F.min(F.struct("rk", "first", "n")).alias("one")), "kinds")
     whole = kinds.where("c > 1").select("h", "r")
     spans = every.join(whole, ["h", "r"], "left_semi").select("rk", "first", "n")
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("d")).where("d > 1").select("h")
-    some = kinds.join(mixed, "h", "left_semi").select("one.rk", F.struct("one.first", "one.n", "h", (F.col("c") > 1).alias("twice")).alias("run"))
+    mixed = kinds.groupBy("h").agg((F.count("*") > SHARD_RUNS).alias("hot"), F.count("*").alias("d")).where("d > 1").drop("d")
+    some = kinds.join(mixed, "h").select("one.rk", F.struct("one.first", "one.n", "h", (F.col("c") > 1).alias("twice"), "hot").alias("run"))
     some = some.groupBy("rk").agg(F.collect_list("run").alias("runs"))  # a document's own runs
     asked = keyed.join(some, "rk").dropDuplicates(["rk"]).select("rk", "text", "runs")
-    window_schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("rk", pa.int64()), ("first", pa.int32()), ("twice", pa.bool_())])
+    window_schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("rk", pa.int64()), ("first", pa.int32()), ("twice", pa.bool_()), ("words", pa.list_(pa.int64()))])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a run its words, of a hot anchor's run its windows' hashes."""
         for batch in batches:
             for some in slices(batch, "text"):
                 found = Windows(some.column("text"), width)
                 lists = some.column("runs")
                 flat = lists.flatten()
                 doc = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+                h, rk = np.asarray(flat.field(2)), np.asarray(some.column("rk"))[doc]
                 first, n = (np.asarray(flat.field(k)).astype(np.int64) for k in (0, 1))
-                at = _ranges(first, n)
-                begin = at + np.repeat(found.first[doc], n)
-                columns = [np.repeat(np.asarray(flat.field(2)), n), found.span(begin, begin + width), np.repeat(np.asarray(some.column("rk"))[doc], n), at.astype(np.int32), np.repeat(np.asarray(flat.field(3).cast(pa.int8())), n).astype(bool)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, window_schema, strict=True)], schema=window_schema)
-
-    single = cut(asked.mapInArrow(windows, "h long, w long, rk long, first int, twice boolean"), "windows")
-    again = single.groupBy("h", "w").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).where("c > 1").select("h", "w")
-    partly = single.where("not twice").join(again, ["h", "w"], "left_semi").select("rk", "first", F.lit(1).alias("n"))
-    return cut(spans.unionByName(partly).distinct().groupBy("rk").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "spans")
+                twice, hot = (np.asarray(flat.field(k).cast(pa.int8())).astype(bool) for k in (3, 4))
+                begin = first + found.first[doc]
+                each = n[hot]
+                at = _ranges(begin[hot], each)
+                columns = [np.repeat(h[hot], each), found.span(at, at + width), np.repeat(rk[hot], each), _ranges(first[hot], each), np.repeat(twice[hot], each), pa.nulls(len(at), window_schema.field(5).type)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c).cast(f.type) for c, f in zip(columns, window_schema, strict=True)], schema=window_schema)
+                long = n[~hot] + width - 1
+                words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long)]).astype(np.int32)), pa.array(found.words.view(np.int64)[_ranges(begin[~hot], long)]))
+                columns = [h[~hot], pa.nulls(len(long), pa.int64()), rk[~hot], first[~hot], twice[~hot], words]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c).cast(f.type) for c, f in zip(columns, window_schema, strict=True)], schema=window_schema)
+
+    single = cut(asked.mapInArrow(windows, "h long, w long, rk long, first int, twice boolean, words array<long>"), "windows")
+    hashed = single.where("words is null").drop("words")
+    again = hashed.groupBy("h", "w").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).where("c > 1").select("h", "w")
+    partly = hashed.where("not twice").join(again, ["h", "w"], "left_semi").select("rk", "first", F.lit(1).alias("n"))
+    shards = single.where("words is not null").select("h", "rk", "first", "twice", "words").repartition("h").sortWithinPartitions("h")
+    match_schema = pa.schema([("rk", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
+
+    def matched(shard: list[tuple]) -> list[tuple[int, int, int]]:
+        automaton = SuffixAutomaton()
+        for _, _, twice, words in shard:
+            automaton.add(words, 2 if twice else 1)
+        automaton.finish()
+        return [(rk, first + k, 1) for rk, first, twice, words in shard if not twice for k in automaton.repeated(words, width)]
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor, shard, out = None, [], []
+        for batch in batches:
+            for k in range(0, len(batch), 512):
+                for h, *run in zip(*(c.to_pylist() for c in batch.slice(k, 512).columns), strict=True):
+                    if h != anchor:
+                        out += matched(shard)
+                        anchor, shard = h, []
+                    shard.append(run)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), match_schema, strict=True)], schema=match_schema)
+                    out = []
+        out += matched(shard)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), match_schema, strict=True)], schema=match_schema)
+
+    streamed = shards.mapInArrow(match, "rk long, first int, n int")
+    every = spans.unionByName(partly).unionByName(streamed).distinct()
+    return cut(every.groupBy("rk").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "spans")
 
 
 def covered(n_words: int, spans: list[tuple[int, int]], width: int) -> np.ndarray:
