@@ -119,6 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
 
 def plan_copies(slim: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
     """slim (source, size, r, ...) with source_size, target and copies added."""
+    slim = cut(slim, "sizes")  # words are counted once
     cells = cut(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = cut(token_targets(sources, weights, budget, most), "targets")
