@@ -312,12 +312,10 @@ def ext_bit_reductions(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").agg(compute.bit_and(c("l_partkey").bitwiseOR(F.lit(8))).alias("a"), compute.bit_or(c("l_partkey")).alias("o"), compute.bit_xor(c("l_partkey")).alias("x"), compute.bool_and(c("l_quantity") > 0).alias("every"), compute.bool_or(c("l_quantity") > 49).alias("any"))
 
 
-@query("SELECT sum(l_partkey)::BIGINT AS fits, -1::INTEGER AS \"over\", 120::BIGINT AS product FROM lineitem")
+@query('SELECT sum(r_regionkey)::BIGINT AS fits, -1::INTEGER AS "over", product(r_regionkey + 1)::BIGINT AS product FROM region')
 def ext_checked(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem")
-    small = spark.range(1, 6).agg(compute.checked_product(c("id"), "i64").alias("product"))
-    sums = df.agg(compute.checked_total(c("l_partkey"), "i64").alias("fits"), _shown(compute.checked_total(_i32().cast("long") * 0 + 2147483647, "i32")).alias("over"))
-    return sums.join(small, F.lit(True))
+    key = c("r_regionkey")
+    return table(spark, sf_dir, "region").agg(compute.checked_total(key.cast("long"), "i64").alias("fits"), _shown(compute.checked_total(key + 2147483640, "i32")).alias("over"), compute.checked_product(key + 1, "i64").alias("product"))
 
 
 # Grouped aggregates.
@@ -364,7 +362,24 @@ def agg_merge_most_recent(spark, sf_dir):
     return aggregate.finish(aggregate.merge(halves, ["user_id"], wanted), ["user_id"], wanted)
 
 
+@query("SELECT l_returnflag, min(l_quantity > 49) AS least, max(l_quantity > 49) AS most FROM lineitem GROUP BY ALL")
+def agg_boolean(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.min(c("l_quantity") > 49).alias("least"), F.max(c("l_quantity") > 49).alias("most"))
+
+
 # Lists and vectors.
+@query("SELECT vec_id, len(embedding) AS n, floor(embedding[2] * 100000::FLOAT)::BIGINT AS second FROM embeddings WHERE label % 2 = 0")
+def list_filter(spark, sf_dir):
+    kept = select.filter_(table(spark, sf_dir, "embeddings"), c("label") % 2 == 0)
+    return kept.select("vec_id", lists.list_len(c("embedding")).alias("n"), F.floor(F.get("embedding", F.lit(1)) * F.lit(100000.0).cast("float")).alias("second"))
+
+
+@query("SELECT event_id, event_id % 100 AS i, label, len(embedding) AS n FROM events JOIN embeddings ON vec_id = event_id % 100")
+def list_take(spark, sf_dir):
+    indices = table(spark, sf_dir, "events").select("event_id", (c("event_id") % 100).alias("i"))
+    return select.take(table(spark, sf_dir, "embeddings"), indices, "i", "vec_id").select("event_id", "i", "label", lists.list_len(c("embedding")).alias("n"))
+
+
 _QUERY = [round(((k * 37) % 64) / 32 - 1, 4) for k in range(64)]
 _QUERY_SQL = "[" + ", ".join(f"{x}::DOUBLE" for x in _QUERY) + "]"
 per_row("list_len", "embeddings", "vec_id", lambda: {"n": lists.list_len(c("embedding")), "none": _shown(lists.list_len(F.when(c("vec_id") < 0, c("embedding"))), "long")}, "len(embedding) AS n, -1::BIGINT AS none")
