@@ -131,7 +131,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
                 size = np.diff(first)
                 prints = []
                 for salt in (1, 2):  # 128 bits for the set: sums of mixed hashes, mixed again with the size
-                    sums = np.concatenate([[0], np.cumsum(mix64(values ^ np.uint64(0xA24BAED4963EE407 * salt % (1 << 64))))]).astype(np.uint64)
+                    sums = np.zeros(len(values) + 1, np.uint64)
+                    np.cumsum(mix64(values ^ np.uint64(0xA24BAED4963EE407 * salt % (1 << 64))), out=sums[1:])
                     prints.append(mix64(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64)).view(np.int64))
                 hashes = min_hashes(values, first).reshape(len(size), BANDS, ROWS)
                 keys = np.zeros((len(size), BANDS), np.uint64)
