@@ -97,6 +97,44 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(js), 0) AS n_removed,
 FROM words d LEFT JOIN lists g ON d.doc_id = g.doc_id
 """
 
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM words
+), copies AS (
+  SELECT doc_id, g, min(doc_id) OVER (PARTITION BY g) AS copy_id, count(*) OVER (PARTITION BY g) AS n FROM sets
+), classes AS (
+  SELECT copy_id, n, len(g) AS size, g FROM copies WHERE doc_id = copy_id
+), grams AS (
+  SELECT copy_id, unnest(g) AS x FROM classes
+), pairs AS (
+  SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.x = b.x AND a.copy_id <> b.copy_id GROUP BY ALL
+), links AS (
+  SELECT a, b, y.n FROM pairs JOIN classes x ON x.copy_id = a JOIN classes y ON y.copy_id = b WHERE c * 10 >= 8 * (x.size + y.size - c)
+), reach AS (
+  SELECT copy_id AS node, copy_id AS root FROM classes UNION SELECT b, root FROM reach JOIN links ON a = node
+), roots AS (
+  SELECT node, min(root) AS class_id FROM reach GROUP BY node
+), counts AS (
+  SELECT a, sum(n)::BIGINT AS n FROM links GROUP BY a
+)
+SELECT doc_id, class_id, copy_id, (coalesce(k.n, 0) + copies.n - 1)::BIGINT AS n_links
+FROM copies JOIN roots ON node = copy_id LEFT JOIN counts k ON a = copy_id
+"""
+
+PAGES_SQL = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS a FROM pages
+), texts AS (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '[\s]+', ' ', 'g')) AS t FROM articles
+), decoded AS (
+  SELECT page_id, url, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS text FROM texts
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM decoded
+"""
+
 LINE_SQL = r"""
 WITH lined AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE coalesce(text, '') <> ''
@@ -164,7 +202,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": SUBSTRING_SQL,
+    "op4_ngram_jaccard": JACCARD_SQL,
     "op5_line_dedup": LINE_SQL,
     "op6_exact_dedup": EXACT_SQL,
+    "op9_html_extraction": PAGES_SQL,
     "op10_chat_format": CHAT_SQL,
 }

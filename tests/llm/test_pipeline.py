@@ -21,7 +21,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, DATA).select(*want.columns)
