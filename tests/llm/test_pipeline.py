@@ -57,6 +57,35 @@ def test_classes_of_the_pipeline_stage(spark):
     assert sorted(kept) == sorted(set(classes.values()))
 
 
+@pytest.fixture(scope="module")
+def small(spark, corpus, tmp_path_factory):
+    """A folder with labels and a benchmark for the rows of conftest.py."""
+    top = tmp_path_factory.mktemp("tables")
+    labels = [(d, 1, int(k % 7 == 0)) for k, (d, *_) in enumerate(corpus)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    items = [(0, " ".join(corpus[10][1].split()[:30])), (1, None), (2, ""), (3, "never said anywhere at all")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    return str(top)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stage_on_odd_rows(spark, docs, none, small, corpus, name, stage):
+    """Nulls, empty and long texts, repeated rows, clashing names, an empty table."""
+    out = stage(spark, docs, small)
+    rows = out.collect()
+    wanted = docs.columns if name != "sharding" else [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
+    assert out.columns == wanted
+    known = Counter((d, t) for d, t, *_ in corpus)
+    got = Counter((r.doc_id, r.text) for r in rows)
+    assert set(got) <= set(known) and all(r.row == "row" and r.score == 0.5 for r in rows)
+    assert all(got[k] <= known[k] * (2 if name == "mixing" else 1) for k in got)
+    if name == "sharding":
+        assert got == known
+    if name == "decontamination":
+        assert set(known) - set(got) == {k for k in known if k[1] == corpus[10][1]}
+    assert stage(spark, none, small).count() == 0
+
+
 def test_entry_without_the_subpackage(tmp_path):
     """What is left still imports and has its queries."""
     for name in ("colonnade", "__spark_entry__.py"):
