@@ -45,5 +45,11 @@ def cast(x: Column, have: str, want: str) -> Column:
 def float_to_int(x: Column, want: str) -> Column:
     """Cut toward zero; null where the result doesn't fit, and for NaN."""
     low, high = bounds(want)
-    fits = (x > F.lit(float(low) - 1 if low > -(1 << 53) else -float(1 << 63) * 1.0000000000000004)) & (x < F.lit(float(high + 1)))
-    return F.when(fits, x).try_cast(spark_type(want)) if want != "u64" else F.when(fits, F.floor(x.cast("decimal(38,10)"))).try_cast("decimal(20,0)")
+    above = x >= F.lit(float(low)) if want == "i64" else x > F.lit(float(low - 1))  # -2**63 - 1 isn't a double
+    whole = F.when(above & (x < F.lit(float(high + 1))), x)
+    if want == "u64":
+        whole = F.when(whole < 0, 0.0).otherwise(whole)  # a double's halves are exact, its decimal isn't
+        high = F.floor(whole / 2.0**32)
+        low = (whole - high * 2.0**32).cast("long")
+        return (high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low).cast("decimal(20,0)")
+    return whole.try_cast(spark_type(want))

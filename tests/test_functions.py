@@ -138,6 +138,9 @@ def test_casts(spark):
     assert column(spark, [300, -1, None], "x int", cast(c("x"), "i32", "i8")) == [44, -1, None]
     assert column(spark, [300, -1], "x int", cast(c("x"), "i32", "u8")) == [44, 255]
     assert column(spark, [3.9, -3.9, 1e20, math.nan, None, float(2**63)], "x double", cast(c("x"), "f64", "i64")) == [3, -3, None, None, None, None]
+    assert column(spark, [-128.9, -129.0, 127.9, 128.0], "x double", cast(c("x"), "f64", "i8")) == [-128, None, 127, None]
+    assert column(spark, [-float(2**63), -float(2**63) * 1.001], "x double", cast(c("x"), "f64", "i64")) == [-(2**63), None]
+    assert [v if v is None else int(v) for v in column(spark, [-0.5, -1.0, 2.0**63, 2.0**64], "x double", cast(c("x"), "f64", "u64"))] == [0, None, 2**63, None]
     assert column(spark, [0.0, math.nan, 0.5, None], "x double", cast(c("x"), "f64", "bool")) == [False, False, True, None]
     assert column(spark, [[1, None, 300], None], "x array<int>", cast(c("x"), "list<i32>", "list<i8>")) == [[1, None, 44], None]
     for bad in (("utf8", "i32"), ("bool", "f64"), ("list<i32>", "i32"), ("list<i32>", "list<list<i32>>")):
