@@ -62,7 +62,7 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, most: float = 2.0, steps:
     source its target of tokens are exponentially tilted: rate(size) = most * sigmoid(lam * size / scale + c).
     lam solves the convex dual, one constraint per source.  Each Newton step is one distributed aggregation
     over cells (source, size, n); steps that leave the bracket of the root are replaced by bisection.
-    Targets at the bounds 0 and most * size have no finite tilt; their rates are set by rate_of.
+    Targets at the bounds 0 and most * size have no finite tilt; plan_copies sets their rates.
     """
     scale = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("scale"))
     state = targets.join(scale.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
