@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     members = cut(members.join(classes.select("cid", "copies"), "cid"), "members")
     # Each block's texts go to the tasks of its pairs of blocks.
-    texts = base.select(F.col("rk").alias("cid"), "text").join(members, "cid").dropDuplicates(["cid"])
+    # members grow with the corpus and are never broadcast, so the plan is one at every size
+    texts = base.select(F.col("rk").alias("cid"), "text").join(members.hint("merge"), "cid").dropDuplicates(["cid"])
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     texts = texts.select("root", "low", "high", "block", "cid", "copies", "text")
