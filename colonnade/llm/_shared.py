@@ -48,8 +48,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and Python; texts are long, and each side holds a batch or two.
+BATCH_BYTES = 8 << 20
+
+
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow with batches of about BATCH_BYTES, unless the session asks for smaller ones; a longer text is a batch of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    now = conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A key of a row that two scans agree on, whatever the partitions: rows with equal keys have equal id and text."""
+    """A key of a row that two scans agree on, whatever the partitions; rows with equal id and text share it.
+
+    It has 64 bits: among 10**10 rows about three pairs would share a key by chance.
+    """
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 

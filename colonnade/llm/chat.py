@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import map_arrow
 from ._text import binary, slices
 
 OPEN, AFTER_ROLE, CLOSE = b"<|im_start|>", b"\n", b"<|im_end|>\n"
@@ -106,7 +107,7 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     string, ints = pa.string(), pa.list_(pa.int32())
     ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     arrow = pa.schema([("conv_id", ids), ("part", pa.int32()), ("formatted", string), ("n_turns", pa.int64()), ("loss_starts", ints), ("loss_ends", ints)])
-    return rows.mapInArrow(lambda batches: _format(batches, arrow, trained, piece), schema)
+    return map_arrow(rows, lambda batches: _format(batches, arrow, trained, piece), schema)
 
 
 def read_back(formatted: bytes) -> list[tuple[bytes, bytes]]:
@@ -143,4 +144,4 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     arrow = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()], strict=True)))
-    return formatted.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(formatted, digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import row_key
+from ._shared import map_arrow, row_key
 from ._text import Words, binary, grams, mix64, slices
 
 #: Items of one broadcast block: about 1 MB of word hashes.  A larger benchmark takes several passes.
@@ -251,7 +251,7 @@ def search_block(rows: DataFrame, block: list, share: float, recall: float, bits
                     columns = [some.column("doc_id").take(pa.array(docs)).cast(kinds[kind]), pa.array([items.ids[k] for k in found], pa.int64()), pa.array(places, pa.int64()), pa.array(distances, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, item_id long, place long, distance long")
+    return map_arrow(rows, run, f"doc_id {kind}, item_id long, place long, distance long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import map_arrow
+
 # Elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var".split())
@@ -214,4 +216,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=[*others, "text", "n_chars"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in others)
-    return rows.mapInArrow(run, fields + "text string, n_chars long")
+    return map_arrow(rows, run, fields + "text string, n_chars long")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import components, cut, row_key
+from ._shared import components, cut, map_arrow, row_key
 from ._text import Words, binary, grams, mix64, slices
 
 #: MinHash values are compared in BANDS groups of ROWS; a pair at 0.8 shares a band with a chance above 0.99999.
@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
                 columns = [some.column("rk").cast(pa.int64()), some.column("doc_id").cast(pa.int64()), pa.array(prints[0]), pa.array(prints[1]), bands]
                 yield pa.RecordBatch.from_arrays(columns, schema=signed)
 
-    signatures = cut(base.mapInArrow(sign, "rk long, doc_id long, s1 long, s2 long, bands array<long>"), "signatures")
+    signatures = cut(map_arrow(base, sign, "rk long, doc_id long, s1 long, s2 long, bands array<long>"), "signatures")
     classes = signatures.groupBy("s1", "s2").agg(F.min("rk").alias("cid"), F.count("*").alias("copies"))
     classes = cut(classes, "classes")
     rows = signatures.select("rk", "doc_id", "s1", "s2").join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).select("rk", "doc_id", "cid")
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=link_schema)
 
-    verified = cut(texts.mapInArrow(verify, "cid long, links long, up long"), "links")
+    verified = cut(map_arrow(texts, verify, "cid long, links long, up long"), "links")
     linked = verified.groupBy("cid").agg(F.sum("links").alias("n_links"))
     roots = components(verified.select("cid", "up"), "cid", "up")
     return rows, linked.join(roots, F.col("cid") == F.col("node")).select("cid", "n_links", "root")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, row_key
+from ._shared import cut, map_arrow, row_key
 
 #: Rows of a batch that is given back at once, by bytes of text.
 PIECE = 1 << 21
@@ -86,7 +86,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, doc_id: str = "doc_id", text:
 
         return _batches(rows(), out_schema, 4)
 
-    chunk = base.mapInArrow(chunks, "doc_id long, rk long, k int, bytes string").withColumn("h", F.xxhash64("bytes"))
+    chunk = map_arrow(base, chunks, "doc_id long, rk long, k int, bytes string").withColumn("h", F.xxhash64("bytes"))
     again = cut(chunk.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-hashes")
     again = cut(chunk.join(again, "h", "left_semi"), "line-chunks")
     place = F.struct("doc_id", "rk", "k")
@@ -94,4 +94,4 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, doc_id: str = "doc_id", text:
     gone = again.join(groups, "bytes").where(~place.eqNullSafe(F.col("kept_at")))
     gone = cut(gone.groupBy("rk").agg(F.collect_set("k").alias("gone")), "line-gone")
     joined = base.join(gone, "rk", "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(remove, "doc_id long, n_lines long, n_removed long, n_chunks_removed long, kept string")
+    return map_arrow(joined, remove, "doc_id long, n_lines long, n_removed long, n_chunks_removed long, kept string")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, row_key
+from ._shared import cut, map_arrow, row_key
 from ._text import Words, binary, grams, mix64, slices
 
 #: Words of the runs among whose hashes each window picks its anchor.
@@ -172,7 +172,7 @@ def repeated_spans(keyed: DataFrame, width: int) -> DataFrame:
                 columns = [pa.array(h), pa.array(r), some.column("rk").take(pa.array(doc)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, run_schema, strict=True)], schema=run_schema)
 
-    every = cut(keyed.mapInArrow(runs, "h long, r long, rk long, first int, n int"), "runs")
+    every = cut(map_arrow(keyed, runs, "h long, r long, rk long, first int, n int"), "runs")
     twice = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     every = cut(every.join(twice, "h", "left_semi"), "runs")
     kinds = cut(every.groupBy("h", "r").agg(F.count("*").alias("c"), F.min(F.struct("rk", "first", "n")).alias("one")), "kinds")
@@ -205,7 +205,7 @@ def repeated_spans(keyed: DataFrame, width: int) -> DataFrame:
                 columns = [h[~hot], pa.nulls(len(long), pa.int64()), rk[~hot], first[~hot], twice[~hot], words]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c).cast(f.type) for c, f in zip(columns, window_schema, strict=True)], schema=window_schema)
 
-    single = cut(asked.mapInArrow(windows, "h long, w long, rk long, first int, twice boolean, words array<long>"), "windows")
+    single = cut(map_arrow(asked, windows, "h long, w long, rk long, first int, twice boolean, words array<long>"), "windows")
     hashed = single.where("words is null").drop("words")
     again = hashed.groupBy("h", "w").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).where("c > 1").select("h", "w")
     partly = hashed.where("not twice").join(again, ["h", "w"], "left_semi").select("rk", "first", F.lit(1).alias("n"))
@@ -235,7 +235,7 @@ def repeated_spans(keyed: DataFrame, width: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), match_schema, strict=True)], schema=match_schema)
 
-    streamed = shards.mapInArrow(match, "rk long, first int, n int")
+    streamed = map_arrow(shards, match, "rk long, first int, n int")
     every = spans.unionByName(partly).unionByName(streamed).distinct()
     return cut(every.groupBy("rk").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "spans")
 
@@ -298,4 +298,4 @@ def remove_repeats(docs: DataFrame, width: int = 35, doc_id: str = "doc_id", tex
                     out.append((doc.as_py(), at, removed, digest.hexdigest(), *([b"".join(kept).decode()] * with_text)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return joined.mapInArrow(clean, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return map_arrow(joined, clean, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ._shared import map_arrow
 from ._text import Words, binary, slices
 
 #: A word is looked up whole and by its first bytes; each way has its own buckets.
@@ -233,7 +234,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 columns = [some.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*names, "score"])
 
-    out = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    out = map_arrow(rows, run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
     if "lang" not in names:
         return out
     if not net.thresholds:
