@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.functions.cmp import total_order_key
+
 from .position import running_sum, with_position
 
 
@@ -88,13 +90,15 @@ def _flipped(x: Column) -> Column:
 def normalised_key(x: Column, kind: str, options: SortOptions | None = None) -> Column:
     """Bytes that compare as the values do: a tag for null, then the value.
 
-    Integers are big-endian with the sign bit turned; texts have each zero byte followed by 0xFF and end in two
+    Integers are big-endian with the sign bit turned, floats the same of their total order; texts have each zero byte followed by 0xFF and end in two
     zero bytes; descending order turns all bits of the value.
     """
     options = options or SortOptions()
     if kind in ("utf8", "binary"):
         latin = F.decode(x.cast("binary"), "iso-8859-1")
         body = F.concat(F.encode(F.replace(latin, F.lit("\0"), F.lit("\0\xff")), "iso-8859-1"), F.unhex(F.lit("0000")))
+    elif kind in ("f16", "f32", "f64"):
+        body = F.unhex(F.lpad(F.hex(total_order_key(x.cast("double")).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
     elif kind in ("bool", "i8", "i16", "i32", "i64", "u8", "u16", "u32"):
         number = x.cast("int").cast("long") if kind == "bool" else x.cast("long")
         body = F.unhex(F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))

@@ -88,6 +88,18 @@ def test_comparisons(spark):
     assert column(spark, [1.0, math.nan], "x double", cmp.lt(c("x"), F.lit(math.inf))) == [True, False]
 
 
+def test_total_order(spark):
+    import struct
+
+    values = [0.0, -0.0, 1.0, -1.0, 1.5, 0.1, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -1.7976931348623157e308, math.inf, -math.inf, 3.0, 1e300, 123456789.125]
+    values += [random.Random(k).uniform(-1, 1) * 2.0 ** random.Random(k).randint(-1060, 1020) for k in range(200)] + [2.0**k for k in range(-1074, 1024, 7)]
+    bits = column(spark, values, "x double", cmp.double_bits(c("x")))
+    assert bits == [struct.unpack("<q", struct.pack("<d", v))[0] for v in values]
+    assert column(spark, [math.nan, None], "x double", cmp.double_bits(c("x"))) == [0x7FF8 << 48, None]
+    keys = column(spark, [-math.inf, -1.0, -0.0, 0.0, 1.0, math.inf, math.nan], "x double", cmp.total_order_key(c("x")))
+    assert keys == sorted(keys) and len(set(keys)) == 7
+
+
 def plain_like(text, pattern, escape):
     if not pattern:
         return not text

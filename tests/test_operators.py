@@ -84,6 +84,14 @@ def test_text_keys(spark):
         assert by_key == rows(sort.sort_to_indices(df, "x", options), "rank")
 
 
+def test_float_keys(spark):
+    values = [1.5, -2.0, float("nan"), None, 0.25, float("-inf"), 1e-300]
+    for options in (SortOptions(), SortOptions(True, False)):
+        df = frame(spark, values, "double")
+        by_key = rows(sort.sort_to_indices(df.withColumn("k", sort.normalised_key(c("x"), "f64", options)), "k"), "rank")
+        assert by_key == rows(sort.sort_to_indices(df, "x", options), "rank")
+
+
 def test_lower_bound_rank_shift(spark):
     rng = random.Random(4)
     values, keys = [rng.randint(0, 20) for _ in range(40)], [rng.randint(-2, 23) for _ in range(30)]
