@@ -27,6 +27,8 @@ NAMES = frozenset(
     "footer masthead topbar comment comments reply replies respond disqus discussion cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription "
     "signup share sharing social related recommended recommendations widget login search pagination pager copyright legal skip toolbar alert".split()
 )
+#: A name that begins so is boilerplate, too.
+PREFIXES = ("comment", "advert", "sidebar", "cookie", "breadcrumb", "newsletter", "footer", "navbar", "navigation", "sponsor", "promo", "disqus", "masthead", "adsby")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 _TOKEN = re.compile(
@@ -35,6 +37,9 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: Names that say what stands beside an element, not what it is.
+_BESIDE = re.compile(r"\b(?:has|with|without|no)[-_ ]?\w+")
+_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 _MARKS = str.maketrans("", "", "".join(c for c in string.punctuation if c in ".,;:!?") + "。、，；：！？…")
 
@@ -46,12 +51,16 @@ def _unwanted(tag: str, attrs: str, within: list[str]) -> bool:
         if _HIDDEN.search(attrs):
             return True
         for kind, *values in _NAMED.findall(attrs):
-            value = next((v for v in values if v), "").lower()
+            value = _BESIDE.sub(" ", _CASE.sub("-", next((v for v in values if v), "")).lower())
             if kind.lower() == "role":
                 if value in ROLES:
                     return True
-            elif tag not in ("body", "html", "article", "main") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                return True
+            elif tag not in ("body", "html", "article", "main"):
+                names = set(re.split(r"[^a-z0-9]+", value))
+                if not NAMES.isdisjoint(names) or any(n.startswith(PREFIXES) for n in names):
+                    return True
+                if "header" in names and not ("article" in within or "main" in within):
+                    return True
     return False
 
 

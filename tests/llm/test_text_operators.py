@@ -132,6 +132,17 @@ def test_main_text(page):
     assert html.main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("before, after", [
+    ("<div id='siteHeader'><p>Site name, motto, and much more of it.</p></div>", "<ol class=commentlist><li>Nonsense, all of it, says a reader.</li></ol>"),
+    ("<div class='top menu'><a>x</a></div>", "<section id=comments><p>First! This is great, thanks, all.</p></section>"),
+    ("<ins class='adsbygoogle'></ins><div class=adsbygoogle>Buy, buy, buy, today.</div>", "<div class='footerLinks'>All rights reserved, by us.</div>"),
+])
+def test_names(before, after):
+    long = "This sentence is long, with commas, and it goes on and on, until it ends."
+    body = f"<div class='page with-sidebar'><div class=post><h2>Head</h2><p>{long}</p><p>{long}</p></div></div>"
+    assert html.main_text(f"<body>{before}{body}{after}</body>") == f"Head {long} {long}"
+
+
 def test_main_text_without_article():
     long = "This sentence is long, with commas, and it goes on and on, until it ends."
     page = f"<body><div class=menu>a b c</div><div id=content><h2>Head</h2><p>{long}</p><p>Short.</p><p>{long}</p></div><div><a href=1>link one</a> <a href=2>link two</a></div></body>"
