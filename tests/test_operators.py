@@ -10,6 +10,7 @@ from colonnade.operators import aggregate, compute, encode, iterate, select, sor
 from colonnade.operators.aggregate import Aggregate
 from colonnade.operators.position import running_sum, with_position
 from colonnade.operators.sort import SortOptions
+from colonnade.sources import read_parquet, write_partitions
 
 c = F.col
 
@@ -49,10 +50,12 @@ def test_take_and_interleave(spark):
     assert rows(select.concat([data, frame(spark, [1])]).select("src", "_pos", "x"), "src", "_pos") == [(0, 0, 10), (0, 1, 20), (0, 2, 30), (1, 0, 1)]
 
 
-def test_partition_and_merge(spark):
+def test_partition_and_merge(spark, tmp_path):
     df = frame(spark, [5, 6, 7, 8])
     parts = select.partitions(df, c("_pos") % 2 * 2, 3)
     assert [rows(p.select("x"), "x") for p in parts] == [[(5,), (7,)], [], [(6,), (8,)]]
+    write_partitions(select.partition(df, c("_pos") % 2), str(tmp_path / "out"), "part")
+    assert rows(read_parquet(spark, str(tmp_path / "out"), "part", "x"), "part", "x") == [(0, 5), (0, 7), (1, 6), (1, 8)]
     with pytest.raises(Exception, match="null partition"):
         select.partition(df, F.lit(None).cast("long")).collect()
     mask = spark.createDataFrame([(0, True), (1, False), (2, True)], "_pos long, f boolean")
@@ -154,6 +157,21 @@ def test_stream(spark, tmp_path):
     assert rows(spark.table("sums").select("g", "s", "n"), "g") == [(0, 80, 4), (1, 40, 2)]
 
 
+def test_windowed_stream(spark, tmp_path):
+    from colonnade.streaming import windowed_stream
+
+    rows_ = [("2024-01-01 00:01:00", 1, 10), ("2024-01-01 00:02:00", 1, 5), ("2024-01-01 00:11:00", 2, 7), ("2024-01-01 01:00:00", 1, 1)]
+    df = spark.createDataFrame(rows_, "t string, g int, x int").select(c("t").cast("timestamp").alias("t"), "g", "x")
+    df.where("t < '2024-01-01 00:30:00'").coalesce(1).write.parquet(str(tmp_path / "in"))
+    df.where("t >= '2024-01-01 00:30:00'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = windowed_stream(stream, "t", "10 minutes", "5 minutes", ["g"], WANTED[:1] + WANTED[3:4])
+    query = out.writeStream.outputMode("append").format("memory").queryName("windows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.table("windows").select(F.date_format("window.start", "HH:mm"), "g", "s", "n")
+    assert sorted(map(tuple, got.collect())) == [("00:00", 1, 15, 2), ("00:10", 2, 7, 1)]
+
+
 def test_iterate(spark):
     df = frame(spark, [3, None, 1])
     assert list(iterate.iterate(df, "x", "i64")) == [3, None, 1]
