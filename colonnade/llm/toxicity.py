@@ -30,10 +30,10 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     data, offsets = binary(pc.utf8_lower(texts))
     words = Words(data, offsets, punctuation=True)
-    ways = [(words.hashes(p) >> np.uint64(49)).astype(np.int64) + k * BUCKETS for k, p in enumerate(PREFIXES)]
+    ways = [(words.hashes(p) >> np.uint64(49)).astype(np.int32) + np.int32(k * BUCKETS) for k, p in enumerate(PREFIXES)]
     ids = np.stack(ways, 1)
     first = words.first + np.arange(len(words.first))
-    out = np.empty((len(ids) + len(first) - 1, len(PREFIXES)), np.int64)
+    out = np.empty((len(ids) + len(first) - 1, len(PREFIXES)), np.int32)
     heads = np.zeros(len(out), bool)
     heads[first[:-1]] = True
     out[heads] = np.arange(len(PREFIXES)) * BUCKETS
@@ -82,15 +82,20 @@ class Network:
         return 1 / (1 + np.exp(-z))
 
 
-def log_odds(ids: np.ndarray, doc_of: np.ndarray, labels: np.ndarray, strength: float = 3.0) -> np.ndarray:
-    """For each bucket the log odds of label 1 among the texts that have it, drawn to the share of label 1 in all."""
-    share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    seen = np.unique(ids + doc_of[:, None] * (len(PREFIXES) * BUCKETS))
-    bucket, doc = seen % (len(PREFIXES) * BUCKETS), seen // (len(PREFIXES) * BUCKETS)
-    ones = np.bincount(bucket, labels[doc], len(PREFIXES) * BUCKETS)
-    all_ = np.bincount(bucket, minlength=len(PREFIXES) * BUCKETS)
-    odds = np.log((ones + strength * share) / (all_ - ones + strength * (1 - share))) - np.log(share / (1 - share))
-    return odds
+def log_odds(batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], strength: float = 3.0) -> np.ndarray:
+    """For each bucket the log odds of label 1 among the texts that have it, drawn to the share of label 1 in all.
+
+    batches: (buckets, ranges of words, labels), counted one by one.
+    """
+    n = len(PREFIXES) * BUCKETS
+    ones, all_ = np.zeros(n), np.zeros(n)
+    for ids, first, labels in batches:
+        doc_of = np.repeat(np.arange(len(labels), dtype=np.int64), np.diff(first))
+        seen = np.unique(ids + doc_of[:, None] * n)
+        ones += np.bincount(seen % n, labels[seen // n], n)
+        all_ += np.bincount(seen % n, minlength=n)
+    share = np.clip(np.concatenate([labels for _, _, labels in batches]).mean(), 1e-3, 1 - 1e-3)
+    return np.log((ones + strength * share) / (all_ - ones + strength * (1 - share))) - np.log(share / (1 - share))
 
 
 def train(texts: list[str], labels: np.ndarray, langs: list[str], channels: int = 8, filters: int = 8, epochs: int = 8, batch: int = 64, rate: float = 0.02, seed: int = 0) -> Network:
@@ -118,9 +123,7 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str], channels: int
     prepared = []
     for k in range(0, len(texts), batch):
         prepared.append((*features(pa.array(texts[k : k + batch], pa.string())), labels[k : k + batch]))
-    ids = np.concatenate([x[0] for x in prepared])
-    doc_of = np.concatenate([np.repeat(np.arange(len(x[2])), np.diff(x[1])) + k * batch for k, x in enumerate(prepared)])
-    net.embedding[:, 0] = 0.5 * log_odds(ids, doc_of, labels)
+    net.embedding[:, 0] = 0.5 * log_odds(prepared)
     for f in net.filters:
         f[:, :, 0] = 0
         f[0, 0, 0] = 1
