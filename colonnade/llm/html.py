@@ -176,8 +176,11 @@ def scores(nodes: list[Node]) -> np.ndarray:
 def main_text(page: str | None, share: float = 0.8, strict: float = 0.3) -> str:
     """The page's article: blocks joined by one space, each with its references decoded and white space folded.
 
-    Nodes whose fused ratio is above strict standard deviations are content for certain.  The innermost element
-    that holds the given share of their text is the article; its other nodes stay unless most of their text is links.
+    Nodes whose fused ratio is above strict standard deviations are content for certain.  The innermost article or
+    main that holds half of their text is the box, and all its nodes stay; without one, the innermost element that
+    holds the given share of their text is, and its other nodes stay unless most of their text is links.  Outside
+    the box certain nodes stay, and so do all nodes of every other article or main that holds any of their text,
+    unless most of their text is links (a link beside content is certain only by the smoothing).
     """
     nodes = text_nodes(page or "")
     if not nodes:
@@ -196,13 +199,15 @@ def main_text(page: str | None, share: float = 0.8, strict: float = 0.3) -> str:
     marked = [k for k in held if tags[k] in ("article", "main") and held[k] >= 0.5 * whole]
     enough = marked or [k for k in held if held[k] >= share * whole and tags[k] not in inner]
     box = max(enough, key=lambda k: depth[k], default=None)
+    homes = {k for k in held if tags[k] in ("article", "main") and held[k]}
+    if box is not None and tags[box] in ("body", "html"):
+        box = None
+    elif box is not None:
+        homes.add(box)
     kept = []
     for n, s in zip(nodes, sure, strict=True):
-        if box is None or tags[box] in ("body", "html"):
-            stays = s
-        else:
-            stays = box in n.holders and (s or marked or n.linked <= 0.5 * len(n.text))
-        if stays:
+        inside = box is None or box in n.holders
+        if inside and (s or marked) or n.linked <= 0.5 * len(n.text) and (s or not homes.isdisjoint(n.holders)):
             kept.append(n.text)
     return " ".join(kept)
 

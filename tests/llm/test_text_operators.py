@@ -153,6 +153,19 @@ def test_main_text_without_article():
     assert html.main_text("<p>a < b and </p") .startswith("a < b")
 
 
+SAID = "This sentence is long, with commas, and it goes on and on, until it ends."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div id=page><div class=lead><p>Lead: {SAID}</p></div><div class=story>{f'<p>{SAID}</p>' * 20}</div></div>", " ".join(["Lead:"] + [SAID] * 21)),
+    (f"<main><article><h2>One</h2>{f'<p>{SAID}</p>' * 6}</article><article><h2>Two</h2>{f'<p>{SAID}</p>' * 4}</article></main>", " ".join(["One"] + [SAID] * 6 + ["Two"] + [SAID] * 4)),
+    (f"<main><h1>Head</h1><article>{f'<p>{SAID}</p>' * 3}</article><ul><li><a href=1>link</a></li></ul></main>", " ".join(["Head"] + [SAID] * 3)),
+    (f"<article>{f'<p>{SAID}</p>' * 3}<p><a href=1>link</a></p></article><div>{f'<p>{SAID}</p>' * 2}</div>", " ".join([SAID] * 3 + ["link"] + [SAID] * 2)),
+])
+def test_sure_text_stays_wherever_it_stands(page, text):
+    assert html.main_text(f"<body>{page}<div><a href=2>elsewhere</a></div></body>") == text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("<>/pa!-\"'= &;divx", max_size=60))
 def test_any_markup(page):
