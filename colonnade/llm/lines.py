@@ -15,19 +15,20 @@ from ._shared import cut, map_arrow, row_key
 PIECE = 1 << 21
 
 
-def line_chunks(lines: list[str], divisor: int = 4) -> list[tuple[int, int]]:
+def line_chunks(lines: list[str], divisor: int = 4, window: int = 3, least: int = 1) -> list[tuple[int, int]]:
     """Ranges of lines.
 
-    A rolling hash over the hashes of three successive lines ends a chunk where it is divisible by divisor;
-    so a line put in or taken out moves only the boundaries near it.  A line's hash is the first 28 bits of its MD5.
+    A rolling hash over the hashes of `window` successive lines ends a chunk where it is divisible by divisor and
+    the chunk has `least` lines; so a line put in or taken out moves only the boundaries near it.  A line's hash is
+    the first 28 bits of its MD5.  divisor 2, window 1 and least 2 reach more of short passages (see the README).
     """
-    out, first, before, last = [], 0, 0, 0
+    out, first, hashes = [], 0, [0] * window
     for i, line in enumerate(lines):
-        h = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
-        if i == len(lines) - 1 or (h + 31 * last + 961 * before) % divisor == 0:
+        hashes = [int(hashlib.md5(line.encode()).hexdigest()[:7], 16), *hashes[:-1]]
+        ends = i + 1 - first >= least and sum(31**k * h for k, h in enumerate(hashes)) % divisor == 0
+        if ends or i == len(lines) - 1:
             out.append((first, i + 1))
             first = i + 1
-        before, last = last, h
     return out
 
 
@@ -48,7 +49,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, width: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def dedup_lines(docs: DataFrame, divisor: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, divisor: int = 4, doc_id: str = "doc_id", text: str = "text", window: int = 3, least: int = 1) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed (lines), n_chunks_removed, kept (the text that is left).
 
     Documents are cut into chunks of lines at content-defined boundaries.  A chunk of two lines or more whose
@@ -66,7 +67,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, doc_id: str = "doc_id", text:
             for batch in batches:
                 for doc, text, rk in zip(*batch.columns, strict=True):
                     lines = _lines(text.as_py())
-                    for k, (a, b) in enumerate(line_chunks(lines, divisor)):
+                    for k, (a, b) in enumerate(line_chunks(lines, divisor, window, least)):
                         if b - a > 1:
                             yield doc.as_py(), rk.as_py(), k, "\n".join(lines[a:b])
 
@@ -80,7 +81,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, doc_id: str = "doc_id", text:
                     if not gone:
                         yield doc.as_py(), len(lines), 0, 0, text.as_py() or ""
                         continue
-                    cuts = line_chunks(lines, divisor)
+                    cuts = line_chunks(lines, divisor, window, least)
                     kept = [line for k, (a, b) in enumerate(cuts) if k not in gone for line in lines[a:b]]
                     yield doc.as_py(), len(lines), len(lines) - len(kept), len(gone), "\n".join(kept)
 

@@ -72,6 +72,30 @@ def test_chunk_boundaries_shift():
     assert line_chunks([]) == [] and line_chunks(["a"]) == [(0, 1)]
 
 
+DENSE = {"divisor": 2, "window": 1, "least": 2}
+
+
+def test_dense_chunks_reach_more_of_passages(spark):
+    """The share of the lines that brute force finds in runs seen before, with the chunks as they are and denser ones."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for n in (5, 10, 20):
+        for p in range(40):
+            passage = [f"passage {n} {p} {k}" for k in range(n)]
+            texts += ["\n".join([f"line {x}" for x in rng.integers(0, 1 << 60, 8)] + passage + [f"line {x}" for x in rng.integers(0, 1 << 60, 8)]) for _ in range(2)]
+    seen, repeated = set(), 0
+    for t in texts:
+        pairs = list(zip(t.split("\n"), t.split("\n")[1:]))
+        again = [p in seen for p in pairs]
+        repeated += sum(a or b for a, b in zip([False, *again], [*again, False]))
+        seen.update(pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    removed = [dedup_lines(df, **how).agg(F.sum("n_removed")).first()[0] for how in ({}, DENSE)]
+    assert repeated == 40 * (5 + 10 + 20)
+    assert removed[1] >= 0.6 * repeated > 0.5 * repeated > removed[0]
+    assert all(b - a > 1 for t in texts for a, b in line_chunks(t.split("\n"), **DENSE)[:-1])
+
+
 def plain_removal(texts, width):
     words = [WORD.findall(t or "") for t in texts]
     seen = Counter(tuple(w[k : k + width]) for w in words for k in range(len(w) - width + 1))
