@@ -70,11 +70,25 @@ def product(df: DataFrame, column: str, kind: str, name: str = "product") -> Dat
     return df.limit(0).agg(F.max(F.lit(0)).cast(spark_type(kind)).alias(name))
 
 
-def checked_product(x: Column, kind: str) -> Column:
-    """The product of floats or small integers, null where it doesn't fit the type exactly."""
-    whole = F.product(x.cast("double"))
+def checked_product(df: DataFrame, column: str, kind: str, name: str = "product") -> DataFrame:
+    """One row: the exact product, null where it doesn't fit the integer type.  Nulls are passed over; null of no values.
+
+    Floats are multiplied as product() does.  Of integers, zeros and signs are counted; 65 factors of two or more
+    exceed every type, so 65 of them tell the whole product.  Magnitudes are multiplied, which never shrink, so no
+    partial product overflows alone.
+    """
+    if not is_integer(kind):
+        return product(df, column, kind, name)
     low, high = bounds(kind)
-    return F.when((F.abs(whole) <= 2.0**53) & (whole >= low) & (whole <= high), whole.cast(spark_type(kind)))
+    whole = "decimal(38,0)"
+    x = F.abs(F.col(column).cast("decimal(20,0)")).cast(whole)
+    facts = df.agg(F.count(column).alias("_n"), F.count_if(x == 0).alias("_zeros"), F.count_if(F.col(column) < 0).alias("_minus"))
+    few = df.where(x > 1).select(x.alias("_x")).limit(65)
+    # A product beyond 38 digits is null, and so is all that follows.
+    size = few.agg(F.aggregate(F.collect_list("_x"), F.lit(1).cast(whole), lambda a, b: F.try_multiply(a, b).try_cast(whole)).alias("_size"))
+    signed = F.when(F.col("_zeros") > 0, F.lit(0).cast(whole)).when(F.col("_minus") % 2 == 1, -F.col("_size")).otherwise(F.col("_size"))
+    fits = (F.col("_n") > 0) & signed.between(F.lit(str(low)).cast(whole), F.lit(str(high)).cast(whole))
+    return facts.crossJoin(size).select(F.when(fits, signed).try_cast(spark_type(kind)).alias(name))
 
 
 def argmin(x: Column, position: Column) -> Column:

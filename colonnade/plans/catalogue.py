@@ -315,7 +315,9 @@ def ext_bit_reductions(spark, sf_dir):
 @query('SELECT sum(r_regionkey)::BIGINT AS fits, -1::INTEGER AS "over", product(r_regionkey + 1)::BIGINT AS product FROM region')
 def ext_checked(spark, sf_dir):
     key = c("r_regionkey")
-    return table(spark, sf_dir, "region").agg(compute.checked_total(key.cast("long"), "i64").alias("fits"), _shown(compute.checked_total(key + 2147483640, "i32")).alias("over"), compute.checked_product(key + 1, "i64").alias("product"))
+    region = table(spark, sf_dir, "region")
+    totals = region.agg(compute.checked_total(key.cast("long"), "i64").alias("fits"), _shown(compute.checked_total(key + 2147483640, "i32")).alias("over"))
+    return totals.crossJoin(compute.checked_product(region.select((key + 1).cast("long").alias("x")), "x", "i64"))
 
 
 # Grouped aggregates.

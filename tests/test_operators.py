@@ -6,6 +6,7 @@ from bisect import bisect_left
 import pytest
 from pyspark.sql import functions as F
 
+from colonnade.functions.types import SPARK
 from colonnade.operators import aggregate, compute, encode, iterate, select, sort
 from colonnade.operators.aggregate import Aggregate
 from colonnade.operators.position import running_sum, with_position
@@ -176,3 +177,25 @@ def test_iterate(spark):
     df = frame(spark, [3, None, 1])
     assert list(iterate.iterate(df, "x", "i64")) == [3, None, 1]
     assert list(iterate.iterate(df, "x", "u64", nonnull=True, indexed=True)) == [(0, 3), (2, 1)]
+
+
+@pytest.mark.parametrize("values, kind, want", [
+    ([3037000499, 3037000499], "i64", 3037000499**2),
+    ([2**53 + 1, 3, None], "i64", 3 * (2**53 + 1)),
+    ([2] * 62 + [-2], "i64", -(2**63)),
+    ([2] * 63, "i64", None),
+    ([2**62, 2**62, 2**62, 2**62, 7, 0], "i64", 0),
+    ([2] * 200, "i64", None),
+    ([-1] * 201 + [5], "i64", -5),
+    ([2**63 - 1] * 3, "i64", None),
+    ([100, 2], "i8", None),
+    ([-64, 2], "i8", -128),
+    ([], "i64", None),
+    ([None], "i64", None),
+    ([2**63, 1], "u64", 2**63),
+    ([2**64 - 1, 2**64 - 1], "u64", None),
+    ([-2.5, 2.0, None], "f64", -5.0),
+])
+def test_checked_product(spark, values, kind, want):
+    df = spark.createDataFrame([(None if v is None else str(v),) for v in values], "x string").select(F.col("x").cast(SPARK[kind]).alias("x"))
+    assert [r.product for r in compute.checked_product(df.repartition(3), "x", kind).collect()] == [want]
