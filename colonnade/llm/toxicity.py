@@ -199,21 +199,19 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_chars: int = 20_000, seed: int = 0, **options) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, seed: int = 0, **options) -> Network:
     """The network, learned from at most `most` labelled rows, half of each label as far as there are so many.
 
     The sample is drawn from the labels alone, those with the least hashes of doc_id; rows whose crc32(doc_id)
-    mod 5 is 0 are never used.  Its ids, at most `most`, are broadcast to the documents.  Texts longer than
-    most_chars are left out of the sample (not cut), as their labels say least about single words.  Of rows
-    with one doc_id all are used.
+    mod 5 is 0 are never used.  Its ids, at most `most`, are broadcast to the documents.  Texts of any length
+    take part whole, in training and in setting the thresholds.  Of rows with one doc_id all are used.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     rank = F.xxhash64(F.lit(seed), "doc_id")
     drawn = [(row.doc_id, row.toxic) for y in (0, 1) for row in known.where(F.col("toxic") == y).orderBy(rank, "doc_id").limit(most // 2).collect()]
     sample = docs.sparkSession.createDataFrame(drawn, "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text", "lang").where(F.length("text") <= most_chars)
-    taken = rows.join(F.broadcast(sample), "doc_id").collect()
+    taken = docs.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(sample), "doc_id").collect()
     taken.sort(key=lambda r: (r.doc_id, r.text))
     return train([r.text or "" for r in taken], np.array([r.toxic for r in taken], np.int64), [r.lang for r in taken], seed=seed, **options)
 

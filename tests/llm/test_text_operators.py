@@ -114,6 +114,16 @@ def test_toxicity(spark, words, none):
         assert all(r.score < 0.5 for r in toxicity.score(df.limit(5), toxicity.fit(df, few)).collect())
 
 
+def test_long_texts_are_learned_from(spark):
+    rng = random.Random(6)
+    docs = [(k, " ".join([rng.choice("abcdefgh") * 400 for _ in range(60)] + ["vile nasty rotten"] * (k % 2)), "en") for k in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    net = toxicity.fit(df, df.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic"))
+    got = {r.doc_id: r.score for r in toxicity.score(df, net).collect()}
+    test = [k for k in got if toxicity.held_out(k)]
+    assert len(test) > 20 and all((got[k] >= 0.5) == k % 2 for k in test) and set(net.thresholds) == {"en"}
+
+
 def test_held_out():
     assert [toxicity.held_out(k) for k in range(200)] == [zlib.crc32(str(k).encode()) % 5 == 0 for k in range(200)]
 
