@@ -1,4 +1,4 @@
-"""Helpers that the operators of this subpackage share: tables in the shared folder, row keys, components."""
+"""Helpers that the operators of this subpackage share: tables in the shared folder, rows' names, components."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine), a temporary folder."""
+    """The folder of spark.checkpoint.dir; where it is unset and all runs in one process (tests), a temporary folder.
+
+    On a cluster without the setting this raises: executors wouldn't see each other's files.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="colonnade-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -35,17 +42,69 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, done: DataFrame | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs a read of that table.  The table's size is known, so the
-    planner sees whether it may be broadcast.  It is removed when the driver's process ends.
+    planner sees whether it may be broadcast.  It is removed when the driver's process ends.  done is an
+    earlier result of cut() that nothing but df reads: it is removed as soon as df is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/colonnade-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if done is not None:
+        _remove(spark, done._written)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+#: Plan nodes over a scan that keep each of its rows at most once.
+_ROW_BY_ROW = ("Project", "Filter", "SubqueryAlias", "View")
+
+
+def _scans_parquet(df: DataFrame) -> bool:
+    """Whether df is a scan of Parquet files with projections and filters alone, all of them deterministic."""
+    node = df._jdf.queryExecution().analyzed()
+    if not node.deterministic():
+        return False
+    while node.getClass().getSimpleName() in _ROW_BY_ROW:
+        node = node.children().head()
+    if node.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    relation = node.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().toString() == "Parquet"
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """docs where it is a plain scan of Parquet files, else docs written to the shared folder: two scans see the same rows."""
+    return docs if _scans_parquet(docs) else cut(docs, "rows")
+
+
+def numbered(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The given columns of docs, and rk, which names the row: (f, i), the hash of its file's path and its number in the file.
+
+    Every scan of the result gives a row the same rk, whatever the partitions or lost tasks, and no two rows
+    share one: the paths' hashes are compared on the driver, which holds the list of files as it is.  Where docs
+    isn't a plain scan of Parquet files (a join, a generated table), its columns are written first, and the
+    rows of that table are numbered.
+    """
+    rows = docs.select(*[c.alias(name) for name, c in columns.items()])
+    if not _scans_parquet(docs):
+        rows = docs = cut(rows, "rows")
+        columns = {name: F.col(name) for name in columns}
+    files = [p.replace(":///", ":/", 1) for p in docs.inputFiles()]
+    if len({xxhash.xxh64_intdigest(p, seed=42) for p in files}) < len(set(files)):
+        raise RuntimeError("two files' paths have one hash; copy one of them to another name")
+    meta = docs.metadataColumn("_metadata")
+    rk = F.struct(F.xxhash64(meta["file_path"]).alias("f"), meta["row_index"].alias("i"))
+    return docs.select(*[c.alias(name) for name, c in columns.items()], rk.alias("rk"))
+
+
+#: rk in Arrow and in a schema string.
+RK = pa.struct([("f", pa.int64()), ("i", pa.int64())])
+RK_SQL = "struct<f:bigint,i:bigint>"
 
 
 #: Bytes of an Arrow batch between the JVM and Python; texts are long, and each side holds a batch or two.
@@ -62,14 +121,6 @@ def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A key of a row that two scans agree on, whatever the partitions; rows with equal id and text share it.
-
-    It has 64 bits: among 10**10 rows about three pairs would share a key by chance.
-    """
-    return F.xxhash64(F.col(doc_id), F.col(text))
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of edges (a, b), longs: rows (node, root), root the least node of the component.
 
@@ -88,7 +139,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        state = cut(small.where("a <> b").distinct(), "edges")
+        state = cut(small.where("a <> b").distinct(), "edges", state)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Every ASCII character but letters and digits, for words without punctuation.
 _PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
-_BASE = 0x9E3779B97F4A7C15
-#: Texts are hashed in pieces of about so many bytes, cut between words; a longer word is hashed whole.
-PIECE = 1 << 20
+#: Words are hashed modulo a prime, once with each base; a modulus of two's powers would take some words for others by construction.
+_PRIME = (1 << 31) - 1
+_BASES = (1_284_865_837, 1_812_433_253)
+#: Texts are hashed in pieces of about so many bytes, cut between words; a longer word is hashed in such pieces, too.
+PIECE = 1 << 18
 
 
 def binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -29,7 +32,7 @@ def binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about limit bytes of the column; a longer text is a slice of its own."""
     _, offsets = binary(batch.column(column))
     first = 0
@@ -51,11 +54,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+@cache
+def _powers(base: int, piece: int) -> np.ndarray:
+    """Powers of the base modulo _PRIME, piece + 1 of them."""
+    out = np.ones(1, np.uint64)
+    while len(out) <= piece:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), _PRIME)) % np.uint64(_PRIME)])
+    return out[: piece + 1]
+
+
+def _prefixes(data: np.ndarray, base: int) -> np.ndarray:
+    """Sums of (byte + 1) * base ** place over the bytes before each place, of at most PIECE bytes; below 2**60."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, PIECE)[: len(data)], out=out[1:])
+    return out
+
+
+def _long_word(word: np.ndarray, base: int) -> int:
+    """The hash that a word longer than PIECE has by the rule of shorter ones."""
+    total = 0
+    for k in range(0, len(word), PIECE):
+        total += int(_prefixes(word[k : k + PIECE], base)[-1]) * pow(base, k, _PRIME)
+    return total % _PRIME
 
 
 class Words:
@@ -78,24 +98,67 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
 
     def hashes(self, most: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word (of its first `most` bytes)."""
-        out = np.empty(len(self.starts), np.uint64)
-        at = 0
+        """A 64-bit number for each word (for its first `most` bytes), from 62 bits of hash: equal words have equal ones.
+
+        Different words may share one (with a chance of about 2**-55 where nobody chose them to), so where words
+        must be equal for certain, compare them.
+        """
+        out = np.zeros(len(self.starts), np.uint64)
+        at, prime = 0, np.uint64(_PRIME)
         ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
-        up = down = np.zeros(0, np.uint64)
         while at < len(out):
             low = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, low + PIECE, "right")))
-            high = self.ends[to - 1]
-            if len(up) < high - low + 1:
-                up, down = _powers(max(int(high - low) + 1, min(len(self.data), PIECE) + 1))
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum((self.data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
+            to = int(np.searchsorted(self.ends, low + PIECE, "right"))
+            if to <= at:
+                word = self.data[low : ends[at]]
+                values = [_long_word(word, base) for base in _BASES]
+                out[at] = np.uint64(((values[0] << 31) | values[1]) ^ (len(word) << 40 & (1 << 64) - 1))
+                at += 1
+                continue
             s, e = self.starts[at:to] - low, ends[at:to] - low
-            out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            for k, base in enumerate(_BASES):
+                sums = _prefixes(self.data[low : self.ends[to - 1]], base)
+                down = _powers(pow(base, -1, _PRIME), PIECE)
+                out[at:to] |= (sums[e] - sums[s]) % prime * down[s] % prime << np.uint64(31 * (1 - k))
+            out[at:to] ^= (e - s).astype(np.uint64) << np.uint64(40)
             at = to
         return mix64(out)
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words' bytes, each with a space behind it, and the place of each word's first byte (and the end)."""
+        size = self.ends - self.starts + 1
+        at = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=at[1:])
+        out = np.full(at[-1], 0x20, np.uint8)
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.starts] += 1
+        edge[self.ends] -= 1
+        inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        gaps = np.zeros(len(out), bool)
+        gaps[at[1:] - 1] = True
+        out[~gaps] = self.data[inside]
+        return out, at
+
+    def ids(self) -> np.ndarray:
+        """A number for each word: two words of these texts have one number just if their bytes are equal."""
+        data, at = self.joined()
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+        return np.asarray(column.dictionary_encode().indices).astype(np.int64)
+
+
+def gram_ids(ids: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of n words, from numbers of words: equal just if the runs are; the last n - 1 starts are left out."""
+    if len(ids) < n:
+        return np.zeros(0, np.int64)
+    have, out = 1, ids
+    while have < n:
+        step = min(have, n - have)
+        left, right = out[: len(out) - step], out[step:]
+        # right is a run of `have` words that ends where the longer one does; overlapping runs tell the same
+        out = np.unique(left * (np.int64(out.max()) + 1) + right, return_inverse=True)[1].astype(np.int64)
+        have += step
+    return out
+
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n consecutive words, one for each start; the last n - 1 starts are left out."""

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._shared import map_arrow
 from ._text import binary, slices
@@ -62,6 +63,13 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, ends[:, 4], np.stack([ends[:, 2], ends[:, 3]], 1)
 
 
+def _changes(keys: pa.Array) -> np.ndarray:
+    """Whether each key but the first differs from the one before; nulls are equal."""
+    before, after = keys.slice(0, len(keys) - 1), keys.slice(1)
+    null = pc.not_equal(before.is_null(), after.is_null())
+    return np.asarray(pc.or_(null, pc.fill_null(pc.not_equal(before, after), False)))
+
+
 def _format(batches: Iterator[pa.RecordBatch], schema: pa.Schema, trained: str, piece: int) -> Iterator[pa.RecordBatch]:
     last, part = None, 0
     for batch in batches:
@@ -70,7 +78,7 @@ def _format(batches: Iterator[pa.RecordBatch], schema: pa.Schema, trained: str,
             blank = pa.scalar("", rows.column("role").type)
             roles, texts = rows.column("role").fill_null(blank), rows.column("text").fill_null(blank)
             data, ends, content = assemble(roles, texts)
-            cuts = [0, *(i for i in range(1, len(rows)) if keys[i] != keys[i - 1]), len(rows)]
+            cuts = [0, *(np.flatnonzero(_changes(keys)) + 1).tolist(), len(rows)]
             loss = np.asarray(pc.fill_null(pc.equal(rows.column("role"), trained), False))
             parts, starts, stops, turns = [], [], [], []
             bounds = np.concatenate([[0], ends[np.array(cuts[1:]) - 1]])
@@ -98,14 +106,16 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     indices of about piece bytes of text are computed at once, and one preallocated buffer is filled.  A
     conversation longer than that has several parts, so no row grows without bound.  Turns are ordered by
     turn, role, text (nulls first); null text or role is empty; a null conv_id is a conversation of its own.
-    Equal rows are turns like others.  Other columns are ignored; an empty table gives no rows.
+    Equal rows are turns like others.  Other columns are ignored; an empty table gives no rows.  conv_id may be
+    of any atomic type.  A conversation's turns are put in order in one task, which holds a piece at a time and
+    spills the rest; so the longest conversation (and all turns without a conv_id) must fit a disk, not memory.
     """
     rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    kind = rows.schema["conv_id"].dataType.simpleString()
-    schema = f"conv_id {kind}, {FORMATTED}"
+    kind = rows.schema["conv_id"].dataType
+    schema = f"conv_id {kind.simpleString()}, {FORMATTED}"
     string, ints = pa.string(), pa.list_(pa.int32())
-    ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    ids = to_arrow_type(kind)
     arrow = pa.schema([("conv_id", ids), ("part", pa.int32()), ("formatted", string), ("n_turns", pa.int64()), ("loss_starts", ints), ("loss_ends", ints)])
     return map_arrow(rows, lambda batches: _format(batches, arrow, trained, piece), schema)
 
@@ -142,6 +152,7 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
                 found = []
         yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], schema=arrow)
 
+    kind = formatted.schema["conv_id"].dataType
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    arrow = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()], strict=True)))
-    return map_arrow(formatted, digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    arrow = pa.schema(list(zip(names, [to_arrow_type(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()], strict=True)))
+    return map_arrow(formatted, digest, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -3,24 +3,48 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
-from ._shared import map_arrow, row_key
+from ._shared import cut, map_arrow, numbered, stored
 from ._text import Words, binary, grams, mix64, slices
 
-#: Items of one broadcast block: about 1 MB of word hashes.  A larger benchmark takes several passes.
-ITEMS_PER_BLOCK = 2000
+#: Items and characters of one broadcast block, so it has about half as many words at most; a longer item is a
+#: block of its own.  With its search tables a block is some 30 MB at most.  A larger benchmark takes several passes.
+ITEMS_PER_BLOCK, CHARS_PER_BLOCK = 2000, 2 << 20
 #: Bits of the tables of the items' runs of words.
 TABLE_BITS = 22
 
 
+@dataclass
+class Sample:
+    """Which steps of a walk are sampled for windows of each kind, in order of the steps: the steps, the kinds, the bits' values."""
+
+    steps: np.ndarray
+    kinds: np.ndarray
+    values: np.ndarray
+    reach: np.ndarray  # for each kind the steps to take, up to its last sampled one
+
+    @classmethod
+    def draw(cls, lengths: np.ndarray, bits: int, walk: int) -> Sample:
+        drawn = [np.random.default_rng([int(n), walk]).choice(3 * int(n), min(bits, 3 * int(n)), replace=False) for n in lengths]
+        counts = np.array([len(d) for d in drawn], np.int64)
+        steps = np.concatenate([*drawn, np.zeros(0, np.int64)]).astype(np.int32)
+        kinds = np.repeat(np.arange(len(lengths), dtype=np.int32), counts)
+        values = np.concatenate([*(1 << np.arange(n, dtype=np.int32) for n in counts.tolist()), np.zeros(0, np.int32)])
+        order = np.argsort(steps, kind="stable")
+        return cls(steps[order], kinds[order], values[order], np.array([d.max() + 1 for d in drawn], np.int32))
+
+
 @dataclass
 class Items:
     """A block of benchmark items as word hashes, with what the search needs."""
@@ -50,22 +74,19 @@ class Items:
                 listed.append(np.stack([np.unique(runs), np.full(len(np.unique(runs)), i, np.uint64)]))
             listed = np.concatenate(listed, 1)
             listed = listed[:, np.argsort(listed[0], kind="stable")]
-            self.runs[q] = table, listed[0], listed[1].astype(np.int64)
+            self.runs[q] = table, listed[0], listed[1].astype(np.int32)
         self.walks = max([repetitions(int(n), int(k), self.bits, self.recall) for n, k in zip(self.kinds, self.most_of_kind, strict=True)], default=0)
         flat = np.concatenate([*self.words, np.zeros(0, np.uint64)])
         begins = np.cumsum(self.lengths) - self.lengths
         full = np.flatnonzero(self.lengths > 0)
         kinds = np.searchsorted(self.kinds, self.lengths[full])
-        self.weights, self.codes = [], []
+        self.samples, self.codes = [], []
         for walk in range(self.walks):
-            weights = np.zeros((len(self.kinds), 3 * int(self.kinds[-1])), np.int64)
-            for kind, length in enumerate(self.kinds):
-                steps = np.random.default_rng([int(length), walk]).choice(3 * int(length), min(self.bits, 3 * int(length)), replace=False)
-                weights[kind, steps] = 1 << np.arange(len(steps))
-            codes = embed(flat, begins[full], self.lengths[full], weights, kinds, walk) | kinds << 32
+            sample = Sample.draw(self.kinds, self.bits, walk)
+            codes = embed(flat, begins[full], self.lengths[full], sample, kinds, walk) | kinds << 32
             order = np.argsort(codes, kind="stable")
-            self.weights.append(weights)
-            self.codes.append((codes[order], full[order]))
+            self.samples.append(sample)
+            self.codes.append((codes[order], full[order].astype(np.int32)))
 
     def windows(self, symbols: np.ndarray, first: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows that hold enough runs of one item: their begins, and the kind of that item."""
@@ -77,7 +98,7 @@ class Items:
             at = at[(at == 0) | (ours[at] != ours[at - 1])]
             low, high = np.searchsorted(runs, ours[at], "left"), np.searchsorted(runs, ours[at], "right")
             n = high - low
-            item = of[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            item = of[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
             place = np.repeat(at, n)
             order = np.lexsort((place, item))
             item, place = item[order], place[order]
@@ -108,25 +129,36 @@ def _step_functions(walk: int, steps: int) -> np.ndarray:
     return mix64(seed + np.uint64(1)) | np.uint64(1)
 
 
-def embed(symbols: np.ndarray, begins: np.ndarray, limits: np.ndarray, weights: np.ndarray, kinds: np.ndarray, walk: int) -> np.ndarray:
+def embed(symbols: np.ndarray, begins: np.ndarray, limits: np.ndarray, sample: Sample, kinds: np.ndarray, walk: int) -> np.ndarray:
     """Samples of the CGK embeddings of the windows [begin, begin + limit) of symbols, as numbers.
 
     A pointer walks over the window.  At each step a random function of walk, step and symbol says whether it
     moves on; another gives the embedding's bit.  Strings at edit distance k meet again after each edit with
     good chance, so their embeddings differ in O(k^2) places.  Behind the window the symbol is 0.
-    weights[kind, step] is the value of a step's bit in the sample of windows of that kind (0: not sampled).
+    kinds tells each window's kind, by which its steps are sampled; it walks no further than the last of them.
     """
-    at = begins.astype(np.int64, copy=True)
-    stop = begins + limits
+    if not len(begins):
+        return np.zeros(0, np.int64)
+    reach = sample.reach[kinds]
+    order = np.argsort(-reach, kind="stable")  # windows that are through stand behind those that walk on
+    at, stop, kind = begins[order].astype(np.int64), (begins + limits)[order], kinds[order]
+    steps = int(reach.max())
+    walking = np.searchsorted(-reach[order], -np.arange(steps), "left")
+    cuts = np.searchsorted(sample.steps, np.arange(steps + 1))
     padded = np.append(symbols, np.uint64(0))
     code = np.zeros(len(begins), np.int64)
-    sampled = weights.any(0)
-    for j, factor in enumerate(_step_functions(walk, weights.shape[1])):
-        r = padded[np.where(at < stop, at, len(symbols))] * factor
-        if sampled[j]:
-            code += weights[kinds, j] * (r >> np.uint64(63)).astype(np.int64)
-        at += ((r >> np.uint64(62)) & np.uint64(1)).astype(np.int64)
-    return code
+    value = np.zeros(len(sample.reach), np.int64)
+    for j, factor in enumerate(_step_functions(walk, steps)):
+        m, a, b = walking[j], cuts[j], cuts[j + 1]
+        r = padded[np.where(at[:m] < stop[:m], at[:m], len(symbols))] * factor
+        if b > a:
+            value[sample.kinds[a:b]] = sample.values[a:b]
+            code[:m] += value[kind[:m]] * (r >> np.uint64(63)).astype(np.int64)
+            value[sample.kinds[a:b]] = 0
+        at[:m] += ((r >> np.uint64(62)) & np.uint64(1)).astype(np.int64)
+    out = np.empty_like(code)
+    out[order] = code
+    return out
 
 
 def repetitions(length: int, edits: int, bits: int, recall: float) -> int:
@@ -155,14 +187,14 @@ def candidates(symbols: np.ndarray, begins: np.ndarray, limits: np.ndarray, kind
     """Pairs (item, begin) of windows and items of one length with an equal sample in some walk, as item << 40 | begin."""
     found = []
     for walk in range(items.walks):
-        ours = embed(symbols, begins, limits, items.weights[walk], kinds, walk)
+        ours = embed(symbols, begins, limits, items.samples[walk], kinds, walk)
         codes, of = items.codes[walk]
         keys = ours | kinds << 32
         low, high = np.searchsorted(codes, keys, "left"), np.searchsorted(codes, keys, "right")
         n = high - low
         if n.any():
             pick = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            found.append(np.unique(of[pick] << 40 | np.repeat(begins, n)))
+            found.append(np.unique(of[pick].astype(np.int64) << 40 | np.repeat(begins, n)))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
@@ -205,40 +237,55 @@ def find(symbols: np.ndarray, first: np.ndarray, items: Items) -> list[tuple[int
     return [(d, item, place, distance) for (d, item), (distance, place) in sorted(best.items())]
 
 
+def item_blocks(listed: Iterable) -> Iterator[list]:
+    """Rows with a text, in lists of ITEMS_PER_BLOCK rows and CHARS_PER_BLOCK characters at most, or of one longer text."""
+    block, chars = [], 0
+    for row in listed:
+        if block and (len(block) == ITEMS_PER_BLOCK or chars + len(row.text) > CHARS_PER_BLOCK):
+            yield block
+            block, chars = [], 0
+        block.append(row)
+        chars += len(row.text)
+    if block:
+        yield block
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.99, bits: int = 6, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """Rows (doc_id, item_id, place, distance): a passage of the document within share of the item's words in edits.
 
     Words are compared in lower case without ASCII punctuation; place is the number of the passage's first word,
-    about; of several passages the nearest counts.  Every window of an item's length in every whole text is
-    looked at.  Items go to the executors in blocks of ITEMS_PER_BLOCK, and documents are passed over once for
-    each block, so what is broadcast is bounded.  Null and empty texts and items match nothing.  Copies of a
-    document give copies of its rows; equal items are each reported.  Empty tables give no rows.
+    about; of several passages the nearest counts.  Every window of an item's length in every whole text, however
+    long, is looked at.  Items go to the executors in blocks of bounded size, and documents are passed over once
+    for each block; the driver holds one block at a time.  Where there are several, each block's rows are
+    written before the next is read.  Null and empty texts and items match nothing.  Copies of a document, also
+    rows equal in all, give copies of its rows; equal items are each reported; null ids are kept as they are.
+    Ids may be of any atomic type.  Other columns are ignored, whatever their names.  Empty tables give no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col("text").alias("text"))
     listed = benchmark.select(F.col(item_id).alias("item_id"), F.col("text").alias("text")).where("text is not null").orderBy("item_id", "text")
-    out = None
-    block: list = []
-    blocks = []
-    for row in listed.toLocalIterator():  # the benchmark, one partition at a time; it never depends on the corpus
-        block.append(row)
-        if len(block) == ITEMS_PER_BLOCK:
-            blocks.append(block)
-            block = []
-    if block or not blocks:
-        blocks.append(block)
-    for block in blocks:
-        found = search_block(rows, block, share, recall, bits)
+    kind = listed.schema["item_id"].dataType
+    blocks = item_blocks(listed.toLocalIterator())
+    block, out = next(blocks, []), None
+    while True:
+        following = next(blocks, None)
+        found, sent = search_block(rows, block, kind, share, recall, bits)
+        if out is None and following is None:
+            return found
+        found = cut(found, "hits")
+        sent.unpersist()
         out = found if out is None else out.unionByName(found)
-    return out
+        if following is None:
+            return out
+        block = following
 
 
-def search_block(rows: DataFrame, block: list, share: float, recall: float, bits: int) -> DataFrame:
+def search_block(rows: DataFrame, block: list, kind: DataType, share: float, recall: float, bits: int) -> tuple[DataFrame, Broadcast]:
     symbols, first = word_hashes(pa.array([r.text for r in block], pa.string()))
     items = Items([r.item_id for r in block], [symbols[a:b] for a, b in zip(first, first[1:], strict=False)], share, recall, bits)
     sent = rows.sparkSession.sparkContext.broadcast(items)
     names = ["doc_id", "item_id", "place", "distance"]
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), StructField("item_id", kind), StructField("place", LongType()), StructField("distance", LongType())])
+    item_kind = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value
@@ -248,14 +295,15 @@ def search_block(rows: DataFrame, block: list, share: float, recall: float, bits
                 hits = find(hashes, first, items)
                 if hits:
                     docs, found, places, distances = zip(*hits, strict=True)
-                    columns = [some.column("doc_id").take(pa.array(docs)).cast(kinds[kind]), pa.array([items.ids[k] for k in found], pa.int64()), pa.array(places, pa.int64()), pa.array(distances, pa.int64())]
+                    columns = [some.column("doc_id").take(pa.array(docs)), pa.array([items.ids[k] for k in found], item_kind), pa.array(places, pa.int64()), pa.array(distances, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_arrow(rows, run, f"doc_id {kind}, item_id long, place long, distance long")
+    return map_arrow(rows, run, schema), sent
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a passage of an item.  Rows with a null doc_id are judged by their text."""
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_rk"))
-    hits = contamination(keyed.select("_rk", "row.text"), benchmark, doc_id="_rk", **options).select(F.col("doc_id").alias("_rk")).distinct()
-    return keyed.join(hits, "_rk", "left_anti").select("row.*")
+    """docs without the documents that hold a passage of an item.  Each row is judged by its own text, whatever its doc_id."""
+    docs = stored(docs)
+    hits = contamination(numbered(docs, text=F.col("text")), benchmark, doc_id="rk", **options)
+    hits = cut(hits.select(F.col("doc_id").alias("rk")).distinct(), "contaminated")
+    return numbered(docs, row=F.struct(*docs.columns)).join(hits, "rk", "left_anti").select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SPACES, cut, row_key
+from ._shared import SPACES, cut, numbered
 
 
 def normalised(text: Column) -> Column:
@@ -19,25 +19,25 @@ def radix_groups(rows: DataFrame, first_bytes: int = 64, growth: int = 8) -> Dat
     Most significant digits first: rows are split by their first bytes, then each group that still has two
     rows or more is split by the bytes that follow, until groups are singletons or their keys have ended.
     Digits get longer from round to round (64 bytes, 512, 4096, ...), so a key of m bytes takes log(m) rounds.
-    Groups are compared by the bytes themselves; no digest decides.  A group's name is the least rk in it.
-    Each round is an aggregation with map-side partial sums and an equi-join on (group, digit), whose large
-    keys the planner can split; singletons leave at once and carry no bytes into the next round.
+    Groups are compared by the bytes themselves; no digest decides.  A round's groups are counted with map-side
+    partial sums, written and numbered; rows then meet their group's number by an equi-join on (group, digit),
+    of which both sides are plain tables, so that the planner can split a hot group's rows over many tasks.
+    Singletons leave at once and carry no bytes into the next round.  rk must be one row's alone.
     """
     digit = F.substring("key", 1, first_bytes)
-    heads = rows.groupBy(digit.alias("digit")).agg(F.count("*").alias("c"), F.min("rk").alias("gid")).where("c > 1").drop("c")
+    heads = rows.groupBy(digit.alias("digit")).agg(F.count("*").alias("c")).where("c > 1")
+    heads = cut(heads.select("digit", F.monotonically_increasing_id().alias("gid")), "digits")
     active = rows.withColumn("digit", digit).join(heads, "digit").select("rk", "doc_id", "n", "gid", F.expr(f"substring(key, {first_bytes + 1})").alias("key"))
-    active, done, step = cut(active, "radix"), None, first_bytes * growth
+    active, done, step = cut(active, "radix", heads), None, first_bytes * growth
     while True:
         keyed = active.withColumn("digit", F.substring("key", 1, step))
-        groups = (
-            keyed.groupBy("gid", "digit")
-            .agg(F.count("*").alias("c"), F.min("rk").alias("next"), F.max(F.length("key") > step).alias("more"))
-            .where("c > 1").drop("c")
-        )
-        split = cut(keyed.join(groups, ["gid", "digit"]).select("rk", "doc_id", "n", F.col("next").alias("gid"), "more", F.expr(f"substring(key, {step + 1})").alias("key")), "radix")
-        ended = split.where(~F.col("more")).select("rk", "doc_id", "n", "gid")
+        groups = keyed.groupBy("gid", "digit").agg(F.count("*").alias("c"), F.max(F.length("key") > step).alias("more")).where("c > 1")
+        groups = cut(groups.select("gid", "digit", "more", F.monotonically_increasing_id().alias("next")), "digits")
+        split = keyed.join(groups, ["gid", "digit"]).select("rk", "doc_id", "n", F.col("next").alias("gid"), F.lit(step).alias("step"), "more", F.expr(f"substring(key, {step + 1})").alias("key"))
+        split = cut(split, "radix", groups)
+        ended = split.where(~F.col("more")).select("rk", "doc_id", "n", F.struct("step", "gid").alias("gid"))  # each round numbers anew
         done = ended if done is None else done.unionByName(ended)
-        active = split.where("more").drop("more")
+        active = split.where("more").drop("more", "step")
         if active.isEmpty():
             return done
         step = min(step * growth, 1 << 26)
@@ -48,16 +48,16 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Texts are equal when they are identical after deleting white space (U+0020, U+0009 to U+000D); null is
     empty, and empty texts are equal.  Of a group the row with the most code points in its original text
-    stays, then the least doc_id; a null doc_id loses ties.  Rows equal in id and text can't be told apart
-    and share their fate (all are kept if theirs is the id that stays); group_size counts every row.
-    An empty table gives no rows.  Other columns are ignored.
+    stays, then the least doc_id; a null doc_id loses ties.  kept says whether a row's doc_id is the one that
+    stays, so of rows with one doc_id in one group all are kept or none; group_size counts every row.
+    An empty table gives no rows.  Other columns are ignored.  text_sha256 is for the reader; it decides nothing.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    base = base.select("doc_id", row_key().alias("rk"), F.length(F.coalesce("text", F.lit(""))).alias("n"), normalised(F.col("text")).alias("key"))
+    base = numbered(docs, doc_id=F.col(doc_id), text=F.col(text))
+    base = base.select("doc_id", "rk", F.length(F.coalesce("text", F.lit(""))).alias("n"), normalised(F.col("text")).alias("key"))
     members = cut(radix_groups(base), "members")
     best = F.max_by("doc_id", F.struct("n", F.bitwise_not(F.col("doc_id"))))
-    groups = members.groupBy("gid").agg(F.count("*").alias("group_size"), best.alias("keep_id"))
-    labels = members.select("rk", "gid").distinct().join(groups, "gid").select("rk", "group_size", "keep_id")
+    groups = cut(members.groupBy("gid").agg(F.count("*").alias("group_size"), best.alias("keep_id")), "groups")
+    labels = members.select("rk", "gid").join(groups, "gid").select("rk", "group_size", "keep_id")
     out = base.select("doc_id", "rk", F.sha2("key", 256).alias("text_sha256")).join(labels, "rk", "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))

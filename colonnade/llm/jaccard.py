@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -10,22 +11,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import components, cut, map_arrow, row_key
-from ._text import Words, binary, grams, mix64, slices
+from ._shared import RK, RK_SQL, components, cut, map_arrow, numbered, stored
+from ._text import Words, binary, gram_ids, grams, mix64, slices
 
 #: MinHash values are compared in BANDS groups of ROWS; a pair at 0.8 shares a band with a chance above 0.99999.
 BANDS, ROWS = 32, 5
-#: Rows of a block: pairs are compared block against block, never in a whole group.
-BLOCK = 200
+#: Classes of a block: a hub's classes are compared block against block, never all in one task.
+BLOCK = 256
+#: Bytes of text of a block, about; a longer text is a block of its own.
+BLOCK_BYTES = 32 << 20
 
 
-def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+def word_digests(words: Words) -> np.ndarray:
+    """BLAKE2b, 128 bits as two numbers, of each text's words, each with a space behind it."""
+    data, at = words.joined()
+    view, ends = memoryview(data), at[words.first].tolist()
+    found = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(ends, ends[1:], strict=False)])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
+def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, in order, and each text's range of them.
 
     A text of fewer than n words has one shingle, all its words; one without words has none.
     """
-    data, offsets = binary(texts)
-    words = Words(data, offsets)
     hashes, first = words.hashes(), words.first
     sizes = np.diff(first)
     doc_of = np.repeat(np.arange(len(sizes)), sizes)
@@ -80,17 +89,58 @@ def fewest_matches(threshold: float, tolerance: float, count: int = BANDS * ROWS
     return out
 
 
-def sign_sets(sets: list[np.ndarray]) -> np.ndarray:
-    return min_hashes(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64))
+def word_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Of each text its distinct word n-grams as numbers in order; two n-grams of these texts have one number just if their words are equal.
+
+    A text of fewer than n words has one n-gram, all its words, which equals that of a text of the same words alone.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    words = Words(data, offsets)
+    ids, first = words.ids(), words.first
+    runs = gram_ids(ids, n)
+    out: list[np.ndarray] = []
+    short: dict[tuple, int] = {}
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= n:
+            out.append(np.unique(runs[a : b - n + 1]))
+        else:
+            few = tuple(ids[a:b].tolist())
+            out.append(np.array([-1 - short.setdefault(few, len(short))] if few else [], np.int64))
+    return out
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """How many numbers the sets left[i] and right[j] have in common, for each pair of places.
+
+    Few pairs are intersected one by one.  Many are counted by products of 0/1 matrices (sets x numbers), some
+    columns at a time, with at most `most` cells in each matrix.
+    """
+    numbers = np.unique(np.concatenate(left + right)) if len(i) >= 64 else np.zeros(0, np.int64)
+    one_by_one = len(i) * (20 + 0.2 * sum(map(len, left + right)) / (len(left) + len(right)))  # microseconds, about
+    if len(i) < 64 or one_by_one <= len(left) * len(right) * len(numbers) / 5000:
+        return np.array([len(np.intersect1d(left[x], right[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    out = np.zeros(len(i), np.int64)
+    places = [[np.searchsorted(numbers, s) for s in side] for side in (left, right)]
+    width = max(1, most // max(len(left), len(right)))
+    for low in range(0, len(numbers), width):
+        sides = []
+        for side in places:
+            cells = np.zeros((len(side), min(width, len(numbers) - low)), np.float32)
+            for k, at in enumerate(side):
+                a, b = np.searchsorted(at, [low, low + width])
+                cells[k, at[a:b] - low] = 1
+            sides.append(cells)
+        out += np.rint(sides[0] @ sides[1].T)[i, j].astype(np.int64)
+    return out
 
 
-def similar(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray, b: np.ndarray, same: bool, threshold: float, steps: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs (i, j) of sets with Jaccard similarity of at least threshold (i < j where both sides are one).
+def open_pairs(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], same: bool, threshold: float, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of the MinHash rows a and b (i < j where both sides are one) that Bayesian pruning leaves.
 
-    a and b are the sides' MinHash values.  They are compared step by step, all pairs that are left at once; Bayesian pruning drops pairs
-    early by the steps of fewest_matches(), and what remains is decided exactly on the sets.
+    Rows are compared step by step, all pairs that are left at once, and dropped by the steps of
+    fewest_matches(), or at first by the sides' sizes of sets.
     """
-    sizes = np.array([len(s) for s in left]), np.array([len(s) for s in right])
     small, large = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
     open_ = small >= threshold * large - 1e-9
     if same:
@@ -102,38 +152,55 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray, b: n
         done = n
         left_in = matches >= least
         i, j, matches = i[left_in], j[left_in], matches[left_in]
-    out = []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        common = len(np.intersect1d(left[x], right[y], assume_unique=True))
-        if common >= threshold * (len(left[x]) + len(right[y]) - common) - 1e-9:
-            out.append((x, y))
-    return out
+    return i, j
+
+
+def hubs_of(banded: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (cid, band) and (cid, bytes) to the stars to compare: (cid, hub, below, blocks).
+
+    A bucket's hub is its least member, and a hub's star holds all members of its buckets.  Two classes are
+    compared in the star of the least hub that both have; below lists a class's lesser hubs, by which other
+    stars tell.  A star all of whose classes have one lesser hub in common as their least one compares
+    nothing, so it is left out: most classes with few partners thus stand in one star alone.  blocks is the
+    number of blocks of about BLOCK classes and BLOCK_BYTES of text into which the star is split.
+    """
+    buckets = cut(banded.groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "buckets")
+    # buckets grow with the corpus and are never broadcast, so the plan is one at every size
+    stars = cut(banded.join(buckets.hint("merge"), "band").select("cid", "hub").distinct(), "stars", buckets)
+    own = stars.groupBy("cid").agg(F.array_sort(F.collect_set("hub")).alias("hubs")).join(sizes, "cid")  # at most one hub for each band
+    stars = cut(stars.join(own, "cid").select("cid", "hub", "hubs", "bytes"), "stars", stars)
+    least = F.col("hubs")[0]
+    useful = stars.groupBy("hub").agg(F.min(least).alias("low"), F.max(least).alias("high"), F.count("*").alias("c"), F.sum("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int")
+    useful = cut(useful.where("low < high or low = hub").select("hub", blocks.alias("blocks")), "hubs")
+    return stars.join(useful, "hub").select("cid", "hub", F.filter("hubs", lambda h: h < F.col("hub")).alias("below"), "blocks")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows (rk, doc_id, cid) and, for classes with links, (cid, n_links, root).
-
-    Texts with one set of word n-grams form a class, named cid; n_links counts the documents of other classes
-    at similarity threshold or above, and root names the component of classes that links join.  Candidates come
-    from MinHash bands: buckets are joined to their least member, and the components of that graph are split
-    into blocks of about BLOCK classes, compared block against block.  So a pair is compared once, no bucket's
-    pairs are emitted, and no group is gathered in one task; a group's texts go to as many tasks as it has
-    blocks.  Within a component all pairs are compared, also those that share no band.
+    """(rows, classes): rows (rk, doc_id, cid) and, for classes with links, (cid, n_links, root, same).
+
+    Texts of the same words in the same order (128 bits of BLAKE2b over the words) form a class, named cid, a
+    number.  n_links counts the documents of other classes at similarity threshold or above, root names the
+    component of classes that links join, same the least of the classes with the very same n-grams.
+
+    Candidates come from MinHash bands: the classes of a bucket meet in the star of its hub, see hubs_of().  So
+    what is shuffled grows with the classes, also along chains of near texts.  A star is split into blocks of
+    about BLOCK classes, compared block against block; only in a star of many classes do texts go to several
+    tasks (as many as it has blocks).  No bucket's pairs are emitted.  What the pruning leaves is decided on
+    the n-grams' words themselves; hashes only choose candidates.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rk", row_key())
+    base = numbered(docs, doc_id=F.col(doc_id).cast("long"), text=F.col(text))
     steps = fewest_matches(threshold, tolerance)
-    signed = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    signed = pa.schema([("rk", RK), ("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bytes", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text"):
-                values, first = shingles(some.column("text"), n)
+                data, offsets = binary(some.column("text"))
+                words = Words(data, offsets)
+                digests = word_digests(words)
+                values, first = shingles(words, n)
                 size = np.diff(first)
-                prints = []
-                for salt in (1, 2):  # 128 bits for the set: sums of mixed hashes, mixed again with the size
-                    sums = np.zeros(len(values) + 1, np.uint64)
-                    np.cumsum(mix64(values ^ np.uint64(0xA24BAED4963EE407 * salt % (1 << 64))), out=sums[1:])
-                    prints.append(mix64(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64)).view(np.int64))
                 hashes = min_hashes(values, first).reshape(len(size), BANDS, ROWS)
                 keys = np.zeros((len(size), BANDS), np.uint64)
                 for r in range(ROWS):
@@ -141,68 +208,80 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
                 keys = mix64(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 at = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[size > 0].ravel()))
-                columns = [some.column("rk").cast(pa.int64()), some.column("doc_id").cast(pa.int64()), pa.array(prints[0]), pa.array(prints[1]), bands]
+                columns = [some.column("rk").cast(RK), some.column("doc_id").cast(pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(np.diff(offsets)), bands]
                 yield pa.RecordBatch.from_arrays(columns, schema=signed)
 
-    signatures = cut(map_arrow(base, sign, "rk long, doc_id long, s1 long, s2 long, bands array<long>"), "signatures")
-    classes = signatures.groupBy("s1", "s2").agg(F.min("rk").alias("cid"), F.count("*").alias("copies"))
-    classes = cut(classes, "classes")
+    signatures = cut(map_arrow(base, sign, f"rk {RK_SQL}, doc_id long, s1 long, s2 long, bytes long, bands array<long>"), "signatures")
+    classes = signatures.groupBy("s1", "s2").agg(F.min("rk").alias("one"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"))
+    # Numbered once and for all: the table is written.
+    classes = cut(classes.select("s1", "s2", "one", "copies", "bytes", F.monotonically_increasing_id().alias("cid")), "classes")
     rows = signatures.select("rk", "doc_id", "s1", "s2").join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).select("rk", "doc_id", "cid")
-    # Candidate components: each bucket's members are joined to its least one.
-    chosen = signatures.select("rk", "bands").join(classes.select(F.col("cid").alias("rk")), "rk", "left_semi").dropDuplicates(["rk"])
-    banded = chosen.select(F.col("rk").alias("cid"), F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("cid").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
-    edges = banded.join(buckets, "band").where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
-    parts = components(edges)
-    sizes = parts.groupBy("root").agg(F.count("*").alias("c"))
-    members = parts.join(sizes, "root").select(F.col("node").alias("cid"), "root", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    members = cut(members.join(classes.select("cid", "copies"), "cid"), "members")
-    # Each block's texts go to the tasks of its pairs of blocks.
+    chosen = signatures.select("rk", "bands").join(classes.select(F.col("one").alias("rk"), "cid"), "rk")
+    stars = hubs_of(chosen.select("cid", F.explode("bands").alias("band")), classes.select("cid", "bytes"))
+    stars = stars.join(classes.select("cid", "one", "copies"), "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    stars = cut(stars.select(F.col("one").alias("rk"), "cid", "copies", "hub", "below", "blocks", "block"), "members")
+    # Each class's text goes to the tasks of its stars' pairs of blocks.
     # members grow with the corpus and are never broadcast, so the plan is one at every size
-    texts = base.select(F.col("rk").alias("cid"), "text").join(members.hint("merge"), "cid").dropDuplicates(["cid"])
+    texts = base.select("rk", "text").join(stars.hint("merge"), "rk").drop("rk")
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    texts = texts.select("root", "low", "high", "block", "cid", "copies", "text")
-    texts = texts.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "block", "cid")
-    link_schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("up", pa.int64())])
+    texts = texts.select("hub", "low", "high", "block", "cid", "copies", "below", "text")
+    texts = texts.repartition("hub", "low", "high").sortWithinPartitions("hub", "low", "high", "block", "cid")
+    link_schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("up", pa.int64()), ("same", pa.int64())])
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int, int]]:
-        """One pair of blocks: rows (block, cid, copies, set, MinHash values) to (cid, links, a node that it is joined to)."""
-        low, high = rows[0][5], rows[0][6]
+    def compare(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
+        """One pair of blocks: rows (block, cid, copies, below, low, high, text, MinHash values, hashes) to (cid, links, a node that it is joined to, a class with its n-grams)."""
+        low, high = rows[0][4], rows[0][5]
         sides = [[r for r in rows if r[0] == block] for block in (low, high)]
         if not (sides[0] and sides[1]):
             return []
-        left, right = ([r[3] for r in side] for side in sides)
-        a, b = (np.stack([r[4] for r in side]) for side in sides)
+        a, b = (np.stack([r[7] for r in side]) for side in sides)
+        counts = tuple(np.array([r[8] for r in side]) for side in sides)
+        i, j = open_pairs(a, b, counts, low == high, threshold, steps)
+        here = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if sides[0][x][3].isdisjoint(sides[1][y][3])]
+        i, j = i[here], j[here]
+        if not len(i):
+            return []
+        wanted = [np.unique(x) for x in (i, j)]
+        sets = word_sets([sides[0][x][6] for x in wanted[0].tolist()] + [sides[1][y][6] for y in wanted[1].tolist()], n)
+        left, right = sets[: len(wanted[0])], sets[len(wanted[0]) :]
+        x, y = np.searchsorted(wanted[0], i), np.searchsorted(wanted[1], j)
+        common = common_counts(left, right, x, y)
+        union = np.array([len(s) for s in left])[x] + np.array([len(s) for s in right])[y] - common
+        near = common >= threshold * union - 1e-9
         links: dict[int, int] = {}
         least: dict[int, int] = {}
-        for i, j in similar(left, right, a, b, low == high, threshold, steps):
-            x, y = sides[0][i], sides[1][j]
+        same: dict[int, int] = {}
+        for x, y, equal in zip(i[near].tolist(), j[near].tolist(), (common == union)[near].tolist(), strict=True):
+            x, y = sides[0][x], sides[1][y]
             links[x[1]] = links.get(x[1], 0) + y[2]
             links[y[1]] = links.get(y[1], 0) + x[2]
-            # A forest over the block pair's links (union by least name), so a component's edges stay few.
             x, y = x[1], y[1]
+            if equal:
+                for c in (x, y):
+                    same[c] = min(same.get(c, c), x, y)
+            # A forest over the block pair's links (union by least name), so a component's edges stay few.
             while least.get(x, x) != x:
                 x = least[x]
             while least.get(y, y) != y:
                 y = least[y]
             least[max(x, y)] = min(x, y)
-        return [(c, n, least.get(c, c)) for c, n in links.items()]
+        return [(c, k, least.get(c, c), same.get(c, c)) for c, k in links.items()]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups follow each other in a partition; shingles and MinHash values are computed for many groups at once."""
+        """Groups follow each other in a partition; MinHash values are computed for many groups at once."""
         key, held, out = None, [], []
         for batch in batches:
             for some in slices(batch, "text"):
-                values, first = shingles(some.column("text"), n)
-                hashes = min_hashes(values, first)
-                columns = [some.column(c).to_pylist() for c in ("root", "low", "high", "block", "cid", "copies")]
-                for k, (root, low, high, block, cid, copies) in enumerate(zip(*columns, strict=True)):
-                    if (root, low, high) != key:
+                data, offsets = binary(some.column("text"))
+                values, first = shingles(Words(data, offsets), n)
+                hashes, sizes = min_hashes(values, first), np.diff(first).tolist()
+                columns = [some.column(c).to_pylist() for c in ("hub", "low", "high", "block", "cid", "copies", "below")]
+                for k, (hub, low, high, block, cid, copies, below) in enumerate(zip(*columns, strict=True)):
+                    if (hub, low, high) != key:
                         out += compare(held) if len(held) > 1 else []
-                        key, held = (root, low, high), []
-                    held.append((block, cid, copies, values[first[k] : first[k + 1]].copy(), hashes[k].copy(), low, high))
+                        key, held = (hub, low, high), []
+                    held.append((block, cid, copies, frozenset(below), low, high, data[offsets[k] : offsets[k + 1]].tobytes(), hashes[k].copy(), sizes[k]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=link_schema)
                     out = []
@@ -210,37 +289,40 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=link_schema)
 
-    verified = cut(map_arrow(texts, verify, "cid long, links long, up long"), "links")
-    linked = verified.groupBy("cid").agg(F.sum("links").alias("n_links"))
+    verified = cut(map_arrow(texts, verify, "cid long, links long, up long, same long"), "links")
+    linked = verified.groupBy("cid").agg(F.sum("links").alias("n_links"), F.min("same").alias("same"))
     roots = components(verified.select("cid", "up"), "cid", "up")
-    return rows, linked.join(roots, F.col("cid") == F.col("node")).select("cid", "n_links", "root")
+    return rows, linked.join(roots, F.col("cid") == F.col("node")).select("cid", "n_links", "root", "same")
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, class_id, copy_id, n_links.
 
     Two documents are linked when the sets of their word n-grams (white-space words, unchanged) have a Jaccard
-    similarity of at least threshold.  class_id is the least doc_id among the documents that chains of links
+    similarity of at least threshold, decided on the words themselves.  class_id is the least doc_id among the documents that chains of links
     join, copy_id the least among those with the same set, n_links the number of documents linked to this one.
     A text of fewer than n words has all its words for its one n-gram; texts without words (null, empty) are
     copies of each other and have no other links.  A null doc_id comes last and is counted like others.  Equal
     rows are documents like others.  Other columns are ignored; an empty table gives no rows.
     """
     rows, links = near_duplicates(docs, n, threshold, doc_id=doc_id, text=text, **options)
-    copies = rows.groupBy("cid").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"))
-    whole = copies.join(links, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    firsts = whole.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    whole = whole.join(firsts, "root").select("cid", "class_id", "copy_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    classes = rows.groupBy("cid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    whole = classes.join(links, "cid", "left").withColumn("root", F.coalesce("root", "cid")).withColumn("same", F.coalesce("same", "cid"))
+    firsts = whole.groupBy("root").agg(F.min("first").alias("class_id"))
+    sames = whole.groupBy("same").agg(F.min("first").alias("copy_id"))
+    links_of = (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    # Written, so that both sides of the join are plain tables: the planner can then split a hot class's rows.
+    whole = cut(whole.join(firsts, "root").join(sames, "same").select("cid", "class_id", "copy_id", links_of), "labels")
     return rows.join(whole, "cid").select("doc_id", "class_id", "copy_id", "n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class of near duplicates: that of the least doc_id (null last), then of the least row key.
+    """docs with one row of each class of near duplicates: that of the least doc_id (null last), then of the first such row of the files.
 
     Documents without words are kept only once, as copies of each other.
     """
+    docs = stored(docs)
     rows, links = near_duplicates(docs, **options)
     rooted = rows.join(links.select("cid", "root"), "cid", "left").select("rk", "doc_id", F.coalesce("root", "cid").alias("root"))
-    best = rooted.groupBy("root").agg(F.min_by("rk", F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("_rk")).select("_rk")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_rk"))
-    return packed.join(best, "_rk", "left_semi").dropDuplicates(["_rk"]).select("row.*")
+    best = cut(rooted.groupBy("root").agg(F.min_by("rk", F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("rk")).select("rk"), "kept")
+    return numbered(docs, row=F.struct(*docs.columns)).join(best, "rk", "left_semi").select("row.*")

@@ -9,18 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, map_arrow, row_key
+from ._shared import RK, RK_SQL, cut, map_arrow, numbered
 
 #: Rows of a batch that is given back at once, by bytes of text.
 PIECE = 1 << 21
 
 
-def line_chunks(lines: list[str], divisor: int = 4, window: int = 3, least: int = 1) -> list[tuple[int, int]]:
+def line_chunks(lines: list[str], divisor: int = 2, window: int = 2, least: int = 2) -> list[tuple[int, int]]:
     """Ranges of lines.
 
     A rolling hash over the hashes of `window` successive lines ends a chunk where it is divisible by divisor and
     the chunk has `least` lines; so a line put in or taken out moves only the boundaries near it.  A line's hash is
-    the first 28 bits of its MD5.  divisor 2, window 1 and least 2 reach more of short passages (see the README).
+    the first 28 bits of its MD5.  A smaller divisor and window reach more of short passages (see the README).
     """
     out, first, hashes = [], 0, [0] * window
     for i, line in enumerate(lines):
@@ -49,17 +49,17 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, width: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def dedup_lines(docs: DataFrame, divisor: int = 4, doc_id: str = "doc_id", text: str = "text", window: int = 3, least: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, divisor: int = 2, doc_id: str = "doc_id", text: str = "text", window: int = 2, least: int = 2) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed (lines), n_chunks_removed, kept (the text that is left).
 
     Documents are cut into chunks of lines at content-defined boundaries.  A chunk of two lines or more whose
     bytes occur elsewhere too, in any document, stays only where it occurs first (least doc_id, then place).
     A 64-bit hash finds candidates; then the chunks' own bytes are grouped, so a collision removes nothing.
-    Null and empty texts have no lines.  A null doc_id comes first.  Rows equal in id and text count as one
-    place and share their fate.  Other columns are ignored; an empty table gives no rows.  doc_id is a long.
+    Null and empty texts have no lines.  A null doc_id comes first.  Rows equal in id and text are documents
+    like others: one of them comes first.  Other columns are ignored; an empty table gives no rows.  doc_id is a long.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rk", row_key())
-    chunk_schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("k", pa.int32()), ("bytes", pa.string())])
+    base = numbered(docs, doc_id=F.col(doc_id).cast("long"), text=F.col(text))
+    chunk_schema = pa.schema([("doc_id", pa.int64()), ("rk", RK), ("k", pa.int32()), ("bytes", pa.string())])
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_chunks_removed", pa.int64()), ("kept", pa.string())])
 
     def chunks(batches):
@@ -87,11 +87,12 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, doc_id: str = "doc_id", text:
 
         return _batches(rows(), out_schema, 4)
 
-    chunk = map_arrow(base, chunks, "doc_id long, rk long, k int, bytes string").withColumn("h", F.xxhash64("bytes"))
+    chunk = map_arrow(base, chunks, f"doc_id long, rk {RK_SQL}, k int, bytes string").withColumn("h", F.xxhash64("bytes"))
     again = cut(chunk.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-hashes")
     again = cut(chunk.join(again, "h", "left_semi"), "line-chunks")
     place = F.struct("doc_id", "rk", "k")
-    groups = again.groupBy("bytes").agg(F.min(place).alias("kept_at"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that both sides of the join are plain tables: the planner can then split the rows of a hot chunk.
+    groups = cut(again.groupBy("bytes").agg(F.min(place).alias("kept_at"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-groups")
     gone = again.join(groups, "bytes").where(~place.eqNullSafe(F.col("kept_at")))
     gone = cut(gone.groupBy("rk").agg(F.collect_set("k").alias("gone")), "line-gone")
     joined = base.join(gone, "rk", "left").select("doc_id", "text", "gone")

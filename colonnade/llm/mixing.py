@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import SPACES, cut
+from ._shared import SPACES, cut, numbered, stored
 
 #: Newton steps stop when every source's rates give its target to this relative error.
-TOLERANCE = 1e-9
+TOLERANCE = 1e-7
 #: Rows of one cell (source, size) that one block ranks.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 #: Sizes of one block of the running sums over sizes.
 BLOCK_SIZES = 256
 #: Starting points of the systematic rounding that are tried for each source.
 PHASES = 16
+#: Rates are rounded in whole numbers of 1 / UNIT, so that sums of them don't depend on their order.
+UNIT = 1 << 28
 
 
 def word_count(text: Column) -> Column:
@@ -61,34 +63,39 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, most: float = 2.0, steps:
     Among rates in [0, most], those nearest (in relative entropy) to one copy per document that give each
     source its target of tokens are exponentially tilted: rate(size) = most * sigmoid(lam * size / scale + c).
     lam solves the convex dual, one constraint per source.  Each Newton step is one distributed aggregation
-    over cells (source, size, n); steps that leave the bracket of the root are replaced by bisection.
+    over cells (source, size, n), with sums of decimals, so that reruns agree to the last bit; steps that leave
+    the bracket of the root are replaced by bisection.  A source without a solution after `steps` steps raises.
     Targets at the bounds 0 and most * size have no finite tilt; plan_copies sets their rates.
     """
-    scale = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("scale"))
+    scale = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("scale"), F.sum("n").alias("all"))
     state = targets.join(scale.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
     state = state.where((F.col("target") > 0) & (F.col("target") < most * F.col("source_size") * (1 - 1e-12)))
-    state = state.select("source", "target", "scale", F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), F.lit(False).alias("over"))
+    state = state.select("source", "target", "scale", "all", F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), F.lit(False).alias("over"))
     state = cut(state, "tilts")
-    for _ in range(steps):
+    for step in range(steps):
+        if state.where("not over").isEmpty():
+            return state.select("source", "lam", "scale")
         open_ = state.where("not over")
         x = F.col("size") / F.col("scale")
         rate = tilted(F.col("lam"), x, most)
+        share = F.col("n") / F.col("all")
+        exact = "decimal(28,18)"  # sums of doubles would depend on the order in which tasks end
         each = cells.where("size > 0").withColumnRenamed("source", "_s").join(open_, F.col("source").eqNullSafe(F.col("_s")))
-        sums = each.groupBy("source", "target", "scale", "lam", "lo", "hi").agg(
-            F.sum(F.col("n") * rate * x).alias("g"), F.sum(F.col("n") * rate * (1 - rate / most) * x * x).alias("h")
+        sums = each.groupBy("source", "target", "scale", "all", "lam", "lo", "hi").agg(
+            F.sum((share * rate * x).cast(exact)).cast("double").alias("g"), F.sum((share * rate * (1 - rate / most) * x * x).cast(exact)).cast("double").alias("h")
         )
-        gap = F.col("g") - F.col("target") / F.col("scale")
+        goal = F.col("target") / F.col("scale") / F.col("all")
+        gap = F.col("g") - goal
         lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - gap / F.greatest("h", F.lit(1e-300))
-        newton = F.greatest(F.col("lam") - 4, F.least(F.col("lam") + 4, newton))
-        good = F.abs(gap) <= TOLERANCE * F.col("target") / F.col("scale")
-        stepped = sums.select("source", "target", "scale", good.alias("over"), newton.alias("to"), "lam", lo.alias("lo"), hi.alias("hi"))
+        far = 4.0 * 2 ** max(0, step - 10)
+        newton = F.greatest(F.col("lam") - far, F.least(F.col("lam") + far, newton))
+        good = F.abs(gap) <= TOLERANCE * goal
+        stepped = sums.select("source", "target", "scale", "all", good.alias("over"), newton.alias("to"), "lam", lo.alias("lo"), hi.alias("hi"))
         lam = F.when(F.col("over"), F.col("lam")).when((F.col("to") > F.col("lo")) & (F.col("to") < F.col("hi")), F.col("to")).otherwise((F.col("lo") + F.col("hi")) / 2)
-        stepped = stepped.select("source", "target", "scale", lam.alias("lam"), "lo", "hi", "over")
-        state = cut(state.where("over").unionByName(stepped), "tilts")
-        if state.where("not over").isEmpty():
-            break
-    return state.select("source", "lam", "scale")
+        stepped = stepped.select("source", "target", "scale", "all", lam.alias("lam"), "lo", "hi", "over")
+        state = cut(state.where("over").unionByName(stepped), "tilts", state)
+    raise RuntimeError(f"the tilts of {state.where('not over').count()} sources were not found in {steps} steps")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -97,28 +104,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     Rates from the dual are rounded systematically in the order of size: a source's running sum of rates is
     cut at whole numbers, so its copies miss its target by about the gap between neighbouring sizes; of
     PHASES starting points the nearest to the target is used.  Running sums are taken in two levels (blocks of
-    sizes, blocks of rows) so that no task gets a whole source.  Rows are ranked by a hash of keys and size,
-    so reruns agree, and rows that are equal in both are interchangeable.  Null text has size 0; a document
-    of size 0 adds no tokens and is taken once.  Null is a source of its own; an empty table gives no rows.
+    sizes, blocks of rows) so that no task gets a whole source.  Rates are rounded to whole numbers of 1 / UNIT
+    and summed exactly.  Rows are ranked by a hash of keys, source and size, so reruns agree, also over other
+    partitions; rows that are equal in all of these are interchangeable.  Null text has size 0; a document of
+    size 0 adds no tokens and is taken once.  Null is a source of its own; an empty table gives no rows.
     Columns of docs with the names of the four are replaced.
     """
-    packed = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column's name can clash
-    own = [F.col(f"row.{k}") for k in keys]
-    slim = packed.select(F.col("row.source").alias("source"), word_count(F.col("row.text")).alias("size"), *[k.alias(f"key{i}") for i, k in enumerate(own)])
-    slim = slim.select("source", "size", F.xxhash64(*[f"key{i}" for i in range(len(keys))], "source", "size").alias("r"))
-    placed = plan_copies(slim, weights, budget, most)
-    keyed = packed.withColumn("size", word_count(F.col("row.text"))).withColumn("_r", F.xxhash64(*own, "row.source", "size"))
-    one = placed.groupBy("r").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    out = keyed.join(one, F.col("_r") == F.col("r"))
-    ranked = F.row_number().over(Window.partitionBy("_r").orderBy("_r")) - 1  # more than one row only where rows are equal in keys, source and size
-    base = F.floor(F.col("all") / F.col("rows"))
-    copies = base + F.when(ranked < F.col("all") - base * F.col("rows"), 1).otherwise(0)
-    added = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies.cast("long")}
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+    docs = stored(docs)
+    size = word_count(F.col("text"))
+    slim = numbered(docs, source=F.col("source"), size=size, r=F.xxhash64(*keys, "source", size))
+    placed = plan_copies(slim, weights, budget, most).select("rk", "size", "source_size", "target", "copies")
+    added = ("size", "source_size", "target", "copies")
+    rows = numbered(docs, row=F.struct(*docs.columns))
+    return rows.join(placed, "rk").select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def plan_copies(slim: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
-    """slim (source, size, r, ...) with source_size, target and copies added."""
+    """slim (rk, source, size, r, ...) with source_size, target and copies added."""
     slim = cut(slim, "sizes")  # words are counted once
     cells = cut(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -126,37 +128,46 @@ def plan_copies(slim: DataFrame, weights: tuple[float, ...], budget: float, most
     tilts = cut(solve_tilts(cells, targets, most), "solved")
     known = targets.join(tilts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
-    rate = F.when(F.col("size") == 0, 1.0).when(full, F.lit(float(most))).when(F.col("target") <= 0, 0.0).otherwise(tilted(F.col("lam"), F.col("size") / F.col("scale"), most))
-    cells = cells.withColumnRenamed("source", "_s").join(known, F.col("source").eqNullSafe(F.col("_s"))).select("source", "size", "n", "source_size", "target", rate.alias("rate"))
+    rate = F.when(full, F.lit(float(most))).when(F.col("target") <= 0, 0.0).otherwise(tilted(F.col("lam"), F.col("size") / F.col("scale"), most))
+    rate = F.round(rate * UNIT).cast("long").alias("rate")
+    cells = cells.where("size > 0").withColumnRenamed("source", "_s").join(known, F.col("source").eqNullSafe(F.col("_s"))).select("source", "size", "n", "source_size", "target", rate)
     # Running sums of rates over sizes: within blocks of sizes, then over blocks.
-    cells = cells.withColumn("mass", F.col("n") * F.col("rate")).withColumn("block", F.floor(F.col("size") / BLOCK_SIZES))
+    whole = "decimal(38,0)"
+    cells = cells.withColumn("mass", (F.col("n").cast("decimal(19,0)") * F.col("rate").cast("decimal(19,0)")).cast(whole)).withColumn("block", F.floor(F.col("size") / BLOCK_SIZES))
     inner = Window.partitionBy("source", "block").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("inside", F.coalesce(F.sum("mass").over(inner), F.lit(0.0)))
-    blocks = cells.groupBy("source", "block").agg(F.sum("mass").alias("m"))
+    cells = cells.withColumn("inside", F.coalesce(F.sum("mass").over(inner).cast(whole), F.lit(0).cast(whole)))
+    blocks = cells.groupBy("source", "block").agg(F.sum("mass").cast(whole).alias("m"))
     outer = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.coalesce(F.sum("m").over(outer), F.lit(0.0)).alias("outside"))
+    blocks = blocks.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.coalesce(F.sum("m").over(outer).cast(whole), F.lit(0).cast(whole)).alias("outside"))
     cells = cells.join(blocks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    cells = cut(cells.select("source", "size", "n", "rate", "source_size", "target", (F.col("inside") + F.col("outside")).alias("start")), "starts")
-    # The starting point that brings each source nearest to its target.
-    def whole(at: Column, phase: Column) -> Column:
-        return F.floor(at + phase + 1e-9)
+    # Of where a cell starts only the part beyond a whole copy matters.
+    start = F.pmod((F.col("inside") + F.col("outside")).cast(whole), F.lit(UNIT).cast(whole)).cast("long").alias("start")
+    cells = cut(cells.select("source", "size", "n", "rate", "source_size", "target", start), "starts")
 
-    tried = [F.sum(F.col("size") * (whole(F.col("start") + F.col("n") * F.col("rate"), F.lit(p / PHASES)) - whole(F.col("start"), F.lit(p / PHASES)))).alias(f"p{p}") for p in range(PHASES)]
+    def copies_to(j: Column, phase: Column) -> Column:
+        """Whole copies up to the cell's j-th row."""
+        return F.shiftright(F.col("start") + phase + j * F.col("rate"), UNIT.bit_length() - 1)
+
+    # The starting point that brings each source nearest to its target.
+    phases = [p * UNIT // PHASES for p in range(PHASES)]
+    none = F.lit(0).cast("long")
+    tried = [F.sum(F.col("size") * (copies_to(F.col("n"), F.lit(p)) - copies_to(none, F.lit(p)))).alias(f"p{k}") for k, p in enumerate(phases)]
     tried = cells.groupBy("source", "target").agg(*tried)
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"p{p}") - F.col("target")).alias("gap"), F.lit(p / PHASES).alias("phase")) for p in range(PHASES)]))["phase"]
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"p{k}") - F.col("target")).alias("gap"), F.lit(p).cast("long").alias("phase")) for k, p in enumerate(phases)]))["phase"]
     tried = tried.select(F.col("source").alias("_s"), nearest.alias("phase"))
     cells = cells.join(tried, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # Ranks in a cell: within blocks of rows, then over the cell's blocks.
     cells = cells.withColumnsRenamed({"source": "_s", "size": "_z"})
-    rows = slim.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).drop("_s", "_z")
+    rows = slim.where("size > 0").join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).drop("_s", "_z")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("r"), F.ceil(F.col("n") / BLOCK_ROWS).cast("long")))
     parts = rows.groupBy("source", "size", "part").agg(F.count("*").alias("c"))
     ahead = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("part").alias("_p"), F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("source", "size", "part").orderBy("r")
+    within = Window.partitionBy("source", "size", "part").orderBy("r", "rk")
     rows = rows.withColumn("j", F.row_number().over(within))
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("part") == F.col("_p")))
-    j = F.col("ahead") + F.col("j")
-    copies = whole(F.col("start") + j * F.col("rate"), F.col("phase")) - whole(F.col("start") + (j - 1) * F.col("rate"), F.col("phase"))
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.least(copies, F.lit(int(most))))
-    return rows.select(*slim.columns, "source_size", "target", copies.cast("long").alias("copies"))
+    j = (F.col("ahead") + F.col("j")).cast("long")
+    copies = F.least(copies_to(j, F.col("phase")) - copies_to(j - 1, F.col("phase")), F.lit(int(most)))
+    rows = rows.select(*slim.columns, "source_size", "target", copies.cast("long").alias("copies"))
+    empty = slim.where("size = 0").join(targets.withColumnsRenamed({"source": "_s"}), F.col("source").eqNullSafe(F.col("_s")))
+    return rows.unionByName(empty.select(*slim.columns, "source_size", "target", F.lit(1).cast("long").alias("copies")))

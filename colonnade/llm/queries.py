@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import numbered
 from .chat import chat_digests, format_chats
 from .decontam import contamination
 from .exact import exact_duplicates
@@ -24,16 +25,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    slim = docs.select("doc_id", "source", "text")
-    sized = slim.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("r", F.xxhash64("doc_id", "source", "size"))
-    mixed = plan_copies(sized, (5, 2, 1), 1.5, 2.0)
+    docs = numbered(_table(spark, sf_dir, "documents"), doc_id=F.col("doc_id"), source=F.col("source"), size=word_count(F.col("text")))
+    mixed = plan_copies(docs.withColumn("r", F.xxhash64("doc_id", "source", "size")), (5, 2, 1), 1.5, 2.0)
     return mixed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    docs = numbered(_table(spark, sf_dir, "documents"), doc_id=F.col("doc_id"), size=(F.length(text) + 16).cast("long"), text_crc32=F.crc32(text))
     dealt = deal(docs, ["doc_id", "text_crc32", "size"], 40)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -63,7 +62,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     net = fit(docs, _table(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "text", "lang"), net)
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("rejected"))
 
 
@@ -141,8 +140,9 @@ WITH lined AS (
 ), hashed AS (
   SELECT doc_id, lines, list_transform(lines, lambda l: ('0x' || substr(md5(l), 1, 7))::BIGINT) AS h FROM lined
 ), ended AS (
-  SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR
-    (h[i] + CASE WHEN i > 1 THEN 31 * h[i - 1] ELSE 0 END + CASE WHEN i > 2 THEN 961 * h[i - 2] ELSE 0 END) % 4 = 0) AS e FROM hashed
+  SELECT doc_id, lines, list_reduce(list_transform(range(1, len(lines) + 1), lambda i: [i]), lambda e, x: CASE
+    WHEN x[1] = len(lines) OR (x[1] - coalesce(e[len(e)], 0) >= 2 AND (h[x[1]] + CASE WHEN x[1] > 1 THEN 31 * h[x[1] - 1] ELSE 0 END) % 2 = 0) THEN list_concat(e, x)
+    ELSE e END, []::BIGINT[]) AS e FROM hashed
 ), chunks AS (
   SELECT doc_id, lines, unnest(range(1, len(e) + 1)) AS k, e FROM ended
 ), spans AS (

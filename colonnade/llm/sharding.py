@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import cut
+from ._shared import cut, numbered, stored
 
-#: Rows of one source block where the table is small, and the most source blocks there are: the matrix has
-#: at most MOST_BLOCKS x shards entries however large the table.
-BLOCK_ROWS, MOST_BLOCKS = 4096, 4096
+#: Rows of a source block: small tables have blocks of LEAST_ROWS; from LEAST_ROWS ** 2 rows on blocks grow, up to
+#: MOST_ROWS, and beyond MOST_ROWS * LEAST_ROWS rows their number does.
+LEAST_ROWS, MOST_ROWS = 4096, 65536
 #: Rows of one range of random keys in the second permutation.
 RANGE_ROWS = 4096
 
@@ -60,7 +60,7 @@ def communication_matrix(counts: DataFrame, blocks: int, sizes: list[int], seed:
     """
     spark = counts.sparkSession
     every = spark.range(blocks).select(F.col("id").alias("block")).join(counts, "block", "left")
-    every = every.agg(F.array_sort(F.collect_list(F.struct("block", F.coalesce("c", F.lit(0)).cast("long").alias("c")))).alias("all"))  # at most MOST_BLOCKS
+    every = every.agg(F.array_sort(F.collect_list(F.struct("block", F.coalesce("c", F.lit(0)).cast("long").alias("c")))).alias("all"))  # one number for each block
     node = every.select(F.lit(0).alias("first"), F.expr("transform(all, x -> x.c)").alias("counts"), F.array(*[F.lit(x).cast("long") for x in sizes]).alias("rest"))
     for level in range(math.ceil(math.log2(max(blocks, 1)))):
         half = "cast(ceil(size(counts) / 2) as int)"
@@ -77,27 +77,46 @@ def communication_matrix(counts: DataFrame, blocks: int, sizes: list[int], seed:
     return node.select(F.col("first").cast("long").alias("block"), F.expr(starts).alias("starts"))
 
 
+def source_blocks(total: int) -> int:
+    """Source blocks for so many rows, each of MOST_ROWS rows at most, about."""
+    return max(1, math.ceil(total / min(MOST_ROWS, max(LEAST_ROWS, total // LEAST_ROWS))))
+
+
+def number_equal(rows: DataFrame, key: list[str], parts: int) -> DataFrame:
+    """rows, each with its own rk, with _1 and _2, two hashes of the key, and _n, the row's number among those with its key.
+
+    Rows of one key are dealt to parts by a hash of rk and numbered there, behind the rows of the parts before;
+    so no task gets a whole key.  Which of the equal rows gets which number depends on rk.
+    """
+    rows = rows.withColumn("_1", F.xxhash64(F.lit(1), *key)).withColumn("_2", F.xxhash64(F.lit(2), *key)).withColumn("_q", F.pmod(F.xxhash64("rk"), F.lit(parts)))
+    before = Window.partitionBy("_1", "_2").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("_1", "_2", "_q").agg(F.count("*").alias("c")).select("_1", "_2", "_q", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_o"))
+    inside = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_1", "_2", "_q").orderBy("rk")))
+    return inside.join(ahead, ["_1", "_2", "_q"]).withColumn("_n", F.col("_n") + F.col("_o")).drop("_q", "_o")
+
+
 def deal(rows: DataFrame, key: list[str], shards: int = 40, seed: int = 0) -> DataFrame:
-    """rows with shard (0 to shards - 1) and slot (place in the shard, gapless from 0): a uniform shuffle.
+    """rows, each with its own rk, with shard (0 to shards - 1) and slot (place in the shard, gapless from 0): a uniform shuffle.
 
     Shards' counts differ by one at most.  Rows are put into source blocks by a hash; the communication matrix
     says how many of each block's rows go to each shard; each block permutes its rows locally and deals them
     out; each shard permutes what it has got.  Permutations sort by hashes of seed, key and the row's number
-    among the rows with its key, so reruns agree.  Ranks are taken in blocks and ranges of bounded size, never
-    in a whole shard.  Nulls are keys like others; rows with one key are numbered in one task; an empty table
-    gives no rows.
+    among the rows with its key, so reruns agree, over other partitions too, but for which of the rows with one
+    key gets which of their places.  Rows with one key are spread like others.  Ranks are taken in blocks of
+    about MOST_ROWS rows at most and in ranges of about RANGE_ROWS, never in a whole shard; the matrix has one
+    row for each block, and the planner broadcasts it only while it is small.  Nulls are keys like others; an
+    empty table gives no rows.
     """
-    names = rows.columns
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
-    slim = numbered.withColumn("_k", F.xxhash64(*key, "_n")).withColumn("_l", F.xxhash64("_n", *reversed(key))).drop("_n")
+    names = [c for c in rows.columns if c != "rk"]
     total = rows.count()
-    blocks = max(1, min(MOST_BLOCKS, math.ceil(total / BLOCK_ROWS)))
+    blocks = source_blocks(total)
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
-    slim = slim.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "_k"), F.lit(blocks)))
+    slim = number_equal(rows, key, blocks).withColumn("_k", F.xxhash64("_1", "_n")).withColumn("_l", F.xxhash64("_2", "_n")).drop("_1", "_2", "_n")
+    slim = cut(slim.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "_k"), F.lit(blocks))), "blocks")
     matrix = cut(communication_matrix(slim.groupBy(F.col("_b").alias("block")).agg(F.count("*").alias("c")), blocks, sizes, seed), "matrix")
     local = Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + 1), "_k"), "_l")
     dealt = slim.withColumn("_j", F.row_number().over(local) - 1)
-    dealt = dealt.join(F.broadcast(matrix.withColumnRenamed("block", "_b")), "_b")  # MOST_BLOCKS x shards numbers at most
+    dealt = dealt.join(matrix.withColumnRenamed("block", "_b"), "_b")
     dealt = dealt.withColumn("shard", F.expr("size(filter(starts, x -> x <= _j)) - 1")).drop("starts", "_j", "_b")
     # Second permutation: ranges of a random key, ranked each on its own, behind the ranges before them.
     ranges = max(1, math.ceil(total / shards / RANGE_ROWS))
@@ -106,17 +125,16 @@ def deal(rows: DataFrame, key: list[str], shards: int = 40, seed: int = 0) -> Da
     before = Window.partitionBy("shard").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     ahead = dealt.groupBy("shard", "_p").agg(F.count("*").alias("c")).select("shard", "_p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("ahead"))
     slot = F.row_number().over(Window.partitionBy("shard", "_p").orderBy("_r", "_l")) - 1
-    return dealt.withColumn("_i", slot).join(ahead, ["shard", "_p"]).select(*names, "shard", (F.col("_i") + F.col("ahead")).cast("long").alias("slot"))
+    return dealt.withColumn("_i", slot).join(ahead, ["shard", "_p"]).select(*names, "rk", "shard", (F.col("_i") + F.col("ahead")).cast("long").alias("slot"))
 
 
 def shard(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
-    """docs with shard and slot, as by deal(): places are dealt to slim rows, 128 bits of hash of all columns.
+    """docs with shard and slot, as by deal(): places are dealt to the rows' names, and the rows are shuffled once, to meet them.
 
-    The rows themselves are shuffled once, to meet their places; equal rows take the places of their key in turn.
+    Columns of docs with the names shard and slot are replaced.
     """
-    names = [c for c in docs.columns if c not in ("shard", "slot")]  # these are replaced
-    keyed = docs.select(F.struct(*names).alias("row")).select("row", F.xxhash64(F.lit(1), "row").alias("_1"), F.xxhash64(F.lit(2), "row").alias("_2"))
-    number = F.row_number().over(Window.partitionBy("_1", "_2").orderBy("_1"))
-    places = deal(keyed.select("_1", "_2"), ["_1", "_2"], shards, seed).withColumn("_n", number)
-    rows = keyed.withColumn("_m", number)
-    return rows.join(places, ["_1", "_2"]).where("_m = _n").select(*[F.col("row")[c].alias(c) for c in names], "shard", "slot")
+    docs = stored(docs)
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    row = F.struct(*names)
+    places = deal(numbered(docs, _h=F.xxhash64(F.lit(3), row), _i=F.xxhash64(F.lit(4), row)), ["_h", "_i"], shards, seed)
+    return numbered(docs, row=row).join(places, "rk").select(*[F.col("row")[c].alias(c) for c in names], "shard", "slot")

@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, map_arrow, row_key
-from ._text import Words, binary, grams, mix64, slices
+from ._shared import RK, RK_SQL, cut, map_arrow, numbered
+from ._text import Words, binary, grams, slices, sliding
 
 #: Words of the runs among whose hashes each window picks its anchor.
 ANCHOR = 8
-_FACTOR = 0xC2B2AE3D27D4EB4F
-#: Bits of an anchor's key that hold its place in the piece of text at hand.
-_PLACE = 27
+#: Bits of an anchor's key that hold its place in the piece of text at hand; a text has fewer than 2**31 bytes.
+_PLACE = 31
+#: Bytes of the BLAKE2b digests by which runs and windows are taken for equal.
+DIGEST = 16
 _GAPS = re.compile(rb"[ \t-\r]+")
 PIECE = 1 << 20
 
@@ -96,55 +97,50 @@ class SuffixAutomaton:
 
 
 class Windows:
-    """All windows of `width` words in texts, by hash."""
+    """All windows of `width` words in texts, and digests of their words."""
 
     def __init__(self, texts: pa.Array, width: int):
         data, offsets = binary(texts)
         words = Words(data, offsets)
-        self.width, self.first, self.words = width, words.first, words.hashes()
-        n = len(self.words)
-        self.up = np.full(n + 1, _FACTOR, np.uint64)
-        self.down = np.full(n + 1, pow(_FACTOR, -1, 1 << 64), np.uint64)
-        self.up[0] = self.down[0] = 1
-        np.multiply.accumulate(self.up, out=self.up)
-        np.multiply.accumulate(self.down, out=self.down)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.words * self.up[:n], out=self.sums[1:])
-
-    def span(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the words [begin, end)."""
-        return mix64((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64)).view(np.int64)
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of successive windows with one anchor: document, first window, windows, anchor hash, hash of all words.
+        self.width, self.first, self.words = width, words.first, words
+        self.bytes, self.at = words.joined()
+
+    def spans(self, begin: np.ndarray, end: np.ndarray) -> list[memoryview]:
+        """The words [begin, end), each with a space behind it."""
+        view = memoryview(self.bytes)
+        return [view[a:b] for a, b in zip(self.at[begin].tolist(), self.at[end].tolist(), strict=True)]
+
+    def digests(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """BLAKE2b of the words [begin, end), in two halves."""
+        blake = hashlib.blake2b
+        both = b"".join([blake(span, digest_size=DIGEST).digest() for span in self.spans(begin, end)])
+        both = np.frombuffer(both, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """Runs of successive windows with one anchor: document, first window, windows, anchor hash, digest of all words (two halves).
 
         A window's anchor is the least hash among its runs of ANCHOR words, the first of equals; so it depends
         on the window's words alone, and equal windows have equal anchors at equal places.
         """
         none = np.zeros(0, np.int64)
-        if len(self.words) < self.width:
-            return none, none, none, none, none
-        g = grams(self.words, ANCHOR)
+        if len(self.at) - 1 < self.width:
+            return (none,) * 6
+        g = grams(self.words.hashes(), ANCHOR)
         mask = np.uint64((1 << _PLACE) - 1)
-        low = (g & ~mask) | np.arange(len(g), dtype=np.uint64)
-        # The least of each window, by doubling.
-        span, have = self.width - ANCHOR + 1, 1
-        while have < span:
-            step = min(have, span - have)
-            low = np.minimum(low[: len(low) - step], low[step:])
-            have += step
+        low = sliding((g & ~mask) | np.arange(len(g), dtype=np.uint64), self.width - ANCHOR + 1, np.minimum)
         anchor = (low & mask).astype(np.int64)
         doc_of = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         at = np.flatnonzero(doc_of[self.width - 1 :] == doc_of[: len(anchor)])
         if not len(at):
-            return none, none, none, none, none
+            return (none,) * 6
         anchor = anchor[at]
         new = np.ones(len(at), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
         begin = np.flatnonzero(new)
         n = np.diff(np.append(begin, len(at)))
         first = at[begin]
-        return doc_of[first], first - self.first[doc_of[first]], n, g[anchor[begin]].view(np.int64), self.span(first, first + n + self.width - 1)
+        return doc_of[first], first - self.first[doc_of[first]], n, g[anchor[begin]].view(np.int64), *self.digests(first, first + n + self.width - 1)
 
 
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -152,68 +148,73 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def repeated_spans(keyed: DataFrame, width: int) -> DataFrame:
     """keyed (rk, text) to (rk, spans): the document's windows, as (first, n), whose words occur elsewhere too.
 
     Windows with one anchor that follow each other form a run of about (width - ANCHOR) / 2 windows; equal
-    windows have one anchor, so runs meet at it.  A run whose words all occur again (equal anchor and hash of
-    all its words) is repeated as a whole.  Where an anchor has different runs, these are a shard of reference
-    text: a suffix automaton is built of them, each run streams through it, and windows with matching
-    statistics of width or more at two places are repeated.  An anchor with more than SHARD_RUNS different
-    runs (a common phrase in all sorts of company) has no automaton; its windows are counted by 128 bits of
-    hash, with map-side sums.  So no task holds more than a bounded group.
+    windows have one anchor, so runs meet at it.  A run whose words all occur again (equal anchor and BLAKE2b of
+    all its words, 128 bits) is repeated as a whole.  Where an anchor has different runs, these are a shard of
+    reference text: a suffix automaton is built of their words, each run streams through it, and windows with
+    matching statistics of width or more at two places are repeated.  An anchor with more than SHARD_RUNS
+    different runs (a common phrase in all sorts of company) is split: its windows are counted by the same
+    digest of their words, with map-side sums.  So no task holds more than a bounded group.
     """
-    run_schema = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("rk", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
+    run_schema = pa.schema([("h", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("rk", RK), ("first", pa.int32()), ("n", pa.int32())])
+    run_sql = f"h long, r1 long, r2 long, rk {RK_SQL}, first int, n int"
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text"):
-                doc, first, n, h, r = Windows(some.column("text"), width).runs()
-                columns = [pa.array(h), pa.array(r), some.column("rk").take(pa.array(doc)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, run_schema, strict=True)], schema=run_schema)
+                doc, first, n, h, r1, r2 = Windows(some.column("text"), width).runs()
+                yield _batch([h, r1, r2, some.column("rk").take(pa.array(doc)), first, n], run_schema)
 
-    every = cut(map_arrow(keyed, runs, "h long, r long, rk long, first int, n int"), "runs")
+    every = cut(map_arrow(keyed, runs, run_sql), "runs")
     twice = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    every = cut(every.join(twice, "h", "left_semi"), "runs")
-    kinds = cut(every.groupBy("h", "r").agg(F.count("*").alias("c"), F.min(F.struct("rk", "first", "n")).alias("one")), "kinds")
-    whole = kinds.where("c > 1").select("h", "r")
-    spans = every.join(whole, ["h", "r"], "left_semi").select("rk", "first", "n")
+    every = cut(every.join(twice, "h", "left_semi"), "runs", every)
+    place = F.struct("rk", "first", "n")
+    kinds = cut(every.groupBy("h", "r1", "r2").agg(F.count("*").alias("c"), F.any_value(place).alias("one")), "kinds")
+    # Written, so that both sides of the join are plain tables: the planner can then split the places of a hot run.
+    whole = cut(kinds.where("c > 1").select("h", "r1", "r2"), "whole")
+    spans = every.join(whole, ["h", "r1", "r2"], "left_semi").select("rk", "first", "n")
     mixed = kinds.groupBy("h").agg((F.count("*") > SHARD_RUNS).alias("hot"), F.count("*").alias("d")).where("d > 1").drop("d")
     some = kinds.join(mixed, "h").select("one.rk", F.struct("one.first", "one.n", "h", (F.col("c") > 1).alias("twice"), "hot").alias("run"))
     some = some.groupBy("rk").agg(F.collect_list("run").alias("runs"))  # a document's own runs
-    asked = keyed.join(some, "rk").dropDuplicates(["rk"]).select("rk", "text", "runs")
-    window_schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("rk", pa.int64()), ("first", pa.int32()), ("twice", pa.bool_()), ("words", pa.list_(pa.int64()))])
+    asked = keyed.join(some, "rk").select("rk", "text", "runs")
+    window_schema = pa.schema([("h", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("rk", RK), ("first", pa.int32()), ("twice", pa.bool_()), ("words", pa.binary())])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a run its words, of a hot anchor's run its windows' hashes."""
+        """Of a run its words, of a hot anchor's run its windows' digests."""
         for batch in batches:
             for some in slices(batch, "text"):
                 found = Windows(some.column("text"), width)
                 lists = some.column("runs")
                 flat = lists.flatten()
                 doc = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
-                h, rk = np.asarray(flat.field(2)), np.asarray(some.column("rk"))[doc]
-                first, n = (np.asarray(flat.field(k)).astype(np.int64) for k in (0, 1))
+                first, n, h = (np.asarray(flat.field(k)).astype(np.int64) for k in (0, 1, 2))
                 twice, hot = (np.asarray(flat.field(k).cast(pa.int8())).astype(bool) for k in (3, 4))
-                begin = first + found.first[doc]
+                begin, rk = first + found.first[doc], some.column("rk")
                 each = n[hot]
                 at = _ranges(begin[hot], each)
-                columns = [np.repeat(h[hot], each), found.span(at, at + width), np.repeat(rk[hot], each), _ranges(first[hot], each), np.repeat(twice[hot], each), pa.nulls(len(at), window_schema.field(5).type)]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c).cast(f.type) for c, f in zip(columns, window_schema, strict=True)], schema=window_schema)
-                long = n[~hot] + width - 1
-                words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long)]).astype(np.int32)), pa.array(found.words.view(np.int64)[_ranges(begin[~hot], long)]))
-                columns = [h[~hot], pa.nulls(len(long), pa.int64()), rk[~hot], first[~hot], twice[~hot], words]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c).cast(f.type) for c, f in zip(columns, window_schema, strict=True)], schema=window_schema)
-
-    single = cut(map_arrow(asked, windows, "h long, w long, rk long, first int, twice boolean, words array<long>"), "windows")
+                nulls = pa.nulls(len(at), pa.binary())
+                yield _batch([np.repeat(h[hot], each), *found.digests(at, at + width), rk.take(pa.array(np.repeat(doc[hot], each))), _ranges(first[hot], each), np.repeat(twice[hot], each), nulls], window_schema)
+                nulls = pa.nulls(int((~hot).sum()), pa.int64())
+                words = pa.array(found.spans(begin[~hot], (begin + n)[~hot] + width - 1), pa.binary())
+                yield _batch([h[~hot], nulls, nulls, rk.take(pa.array(doc[~hot])), first[~hot], twice[~hot], words], window_schema)
+
+    single = cut(map_arrow(asked, windows, f"h long, w1 long, w2 long, rk {RK_SQL}, first int, twice boolean, words binary"), "windows")
     hashed = single.where("words is null").drop("words")
-    again = hashed.groupBy("h", "w").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).where("c > 1").select("h", "w")
-    partly = hashed.where("not twice").join(again, ["h", "w"], "left_semi").select("rk", "first", F.lit(1).alias("n"))
+    again = hashed.groupBy("h", "w1", "w2").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).where("c > 1").select("h", "w1", "w2")
+    partly = hashed.where("not twice").join(again, ["h", "w1", "w2"], "left_semi").select("rk", "first", F.lit(1).alias("n"))
     shards = single.where("words is not null").select("h", "rk", "first", "twice", "words").repartition("h").sortWithinPartitions("h")
-    match_schema = pa.schema([("rk", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
+    match_schema = pa.schema([("rk", RK), ("first", pa.int32()), ("n", pa.int32())])
 
-    def matched(shard: list[tuple]) -> list[tuple[int, int, int]]:
+    def matched(shard: list[tuple]) -> list[tuple[dict, int, int]]:
         automaton = SuffixAutomaton()
+        shard = [(rk, first, twice, words.split()) for rk, first, twice, words in shard]
         for _, _, twice, words in shard:
             automaton.add(words, 2 if twice else 1)
         automaton.finish()
@@ -229,14 +230,14 @@ def repeated_spans(keyed: DataFrame, width: int) -> DataFrame:
                         anchor, shard = h, []
                     shard.append(run)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), match_schema, strict=True)], schema=match_schema)
+                    yield _batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), match_schema, strict=True)], match_schema)
                     out = []
         out += matched(shard)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), match_schema, strict=True)], schema=match_schema)
+            yield _batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), match_schema, strict=True)], match_schema)
 
-    streamed = map_arrow(shards, match, "rk long, first int, n int")
-    every = spans.unionByName(partly).unionByName(streamed).distinct()
+    streamed = map_arrow(shards, match, f"rk {RK_SQL}, first int, n int")
+    every = spans.unionByName(partly).unionByName(streamed)  # a window comes from one of them alone
     return cut(every.groupBy("rk").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "spans")
 
 
@@ -267,7 +268,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, doc_id: str = "doc_id", tex
     U+0020 and U+0009 to U+000D, unchanged.  Null and empty texts have no words.  Rows equal in id and text
     are repeats of each other.  Other columns are ignored; an empty table gives no rows.  doc_id is a long.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rk", row_key())
+    base = numbered(docs, doc_id=F.col(doc_id).cast("long"), text=F.col(text))
     joined = base.join(repeated_spans(base.select("rk", "text"), width), "rk", "left").select("doc_id", "text", "spans")
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] * with_text)]
     schema = pa.schema(fields)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ._shared import map_arrow
 from ._text import Words, binary, slices
@@ -98,15 +98,56 @@ def log_odds(batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], strength:
     return np.log((ones + strength * share) / (all_ - ones + strength * (1 - share))) - np.log(share / (1 - share))
 
 
-def train(texts: list[str], labels: np.ndarray, langs: list[str], channels: int = 8, filters: int = 8, epochs: int = 8, batch: int = 64, rate: float = 0.02, seed: int = 0) -> Network:
-    """Fit the network by Adagrad on the logistic loss, each class weighing half.
+def logistic(z: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of the logistic law of labels given z that fits best (Newton, slightly drawn to zero)."""
+    spread = max(float(z.std()), 1e-6)
+    x, slope, shift = (z - z.mean()) / spread, 1.0, 0.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(slope * x + shift, -30, 30)))
+        g = np.array([((p - labels) * x).sum() + 1e-2 * slope, (p - labels).sum() + 1e-2 * shift])
+        w = p * (1 - p)
+        h = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-2]])
+        move = np.linalg.solve(h, g)
+        slope, shift = slope - np.clip(move[0], -2, 2), shift - np.clip(move[1], -2, 2)
+        if np.abs(move).max() < 1e-9:
+            break
+    return float(slope / spread), float(shift - slope * z.mean() / spread)
+
+
+def auc(z: np.ndarray, labels: np.ndarray) -> float:
+    """The chance that a row of label 1 has a greater z than one of label 0; equal ones count half."""
+    values, back, counts = np.unique(z, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(counts) - (counts - 1) / 2)[back]
+    ones = labels.sum()
+    return float((rank[labels > 0].sum() - ones * (ones + 1) / 2) / (ones * (len(labels) - ones)))
+
+
+def parts_of(labels: np.ndarray, rng: np.random.Generator, count: int) -> np.ndarray:
+    """A number below count for each row, so that each label's rows are spread evenly."""
+    out = np.zeros(len(labels), np.int64)
+    for y in (0, 1):
+        rows = rng.permutation(np.flatnonzero(labels == y))
+        out[rows] = np.arange(len(rows)) % count
+    return out
+
+
+def first_tops(conv: np.ndarray, first: np.ndarray, doc: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The first place of the maximum of conv over each text doc, in the column which."""
+    return np.array([first[d] + int(np.argmax(conv[first[d] : first[d + 1], c])) for d, c in zip(doc.tolist(), which.tolist(), strict=True)], np.int64)
+
+
+#: (buckets, ranges of words, labels) of some texts
+Batch = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def learn(learned: list[Batch], judged: list[Batch], channels: int, filters: int, epochs: int, rate: float, rng: np.random.Generator) -> tuple[Network, int, np.ndarray]:
+    """The network, the epochs that it took, and its logits of the judged texts: Adagrad on the logistic loss, each class weighing half.
 
     The first embedding channel starts at the buckets' log odds, and the first filter of each width reads it;
-    everything is then trained together.  A slope and a shift put the break-even point of the training scores
-    at 0.5; thresholds are the break-even points of each language's training scores (the common one where a
-    language has fewer than 20 of either label).
+    everything is then trained together.  After each epoch the judged texts, which take no part in the training,
+    tell the area under the curve, and the epoch with the largest (the start is one, too) is the result; three
+    worse ones end the training.  Without judged texts all epochs are taken.
     """
-    rng = np.random.default_rng(seed)
     n_buckets = len(PREFIXES) * BUCKETS
     net = Network(
         rng.normal(0, 0.05, (n_buckets, channels)).astype(np.float32),
@@ -114,37 +155,35 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str], channels: int
         [np.zeros(filters, np.float32) for _ in WIDTHS],
         rng.normal(0, 0.1, len(WIDTHS) * filters).astype(np.float32),
     )
-    if not len(texts) or labels.min() == labels.max():
-        net.weights[:] = 0
-        net.bias = -1.0 if not len(texts) or labels.max() == 0 else 1.0
-        return net
-    order = rng.permutation(len(texts))
-    texts, labels, langs = [texts[i] for i in order], labels[order].astype(np.float64), [langs[i] for i in order]
-    prepared = []
-    for k in range(0, len(texts), batch):
-        prepared.append((*features(pa.array(texts[k : k + batch], pa.string())), labels[k : k + batch]))
-    net.embedding[:, 0] = 0.5 * log_odds(prepared)
+    net.embedding[:, 0] = 0.5 * log_odds(learned)
     for f in net.filters:
         f[:, :, 0] = 0
         f[0, 0, 0] = 1
     net.weights[[k * filters for k in range(len(WIDTHS))]] = 1.0 / len(WIDTHS)
     net.bias = -2.0
-    share = labels.mean()
-    costs = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
+    share = np.concatenate([told for *_, told in learned]).mean()
+    told_apart = np.concatenate([told for *_, told in judged]) if judged else np.zeros(0)
     shapes = [net.embedding, *net.filters, *net.biases, net.weights]
     sums = [np.full_like(x, 1e-2) for x in shapes]
     bias_sum = 1e-2
 
+    def judge(epoch: int) -> tuple:
+        z = np.concatenate([net.logits(i, f) for i, f, _ in judged]).astype(np.float64) if judged else told_apart
+        return auc(z, told_apart) if judged else float(epoch), epoch, z, [x.copy() for x in shapes], net.bias
+
     def step(k: int, gradient: np.ndarray, rows=slice(None)) -> None:
         sums[k][rows] += gradient**2
         shapes[k][rows] -= rate * gradient / np.sqrt(sums[k][rows])
 
-    for _ in range(epochs):
-        for b in rng.permutation(len(prepared)):
-            ids, first, y = prepared[b]
+    best = judge(0)
+    for epoch in range(1, epochs + 1):
+        if judged and (best[0] >= 1 or epoch > best[1] + 3):
+            break
+        for b in rng.permutation(len(learned)):
+            ids, first, told = learned[b]
             pooled, where, words = net.activations(ids, first)
             p = 1 / (1 + np.exp(-np.clip(pooled @ net.weights + net.bias, -30, 30)))
-            out = ((p - y) * costs[b * batch : b * batch + len(y)]).astype(np.float32) / len(y)
+            out = ((p - told) * np.where(told > 0, 0.5 / share, 0.5 / (1 - share))).astype(np.float32) / len(told)
             back = out[:, None] * net.weights * (pooled > 0)
             step(len(shapes) - 1, pooled.T @ out)
             bias_sum += out.sum() ** 2
@@ -154,8 +193,7 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str], channels: int
                 f = net.filters[w]
                 part = back[:, w * filters : (w + 1) * filters]
                 doc, which = np.nonzero(part)
-                # The first place of each maximum that has a gradient.
-                place = np.array([first[d] + int(np.argmax(conv[first[d] : first[d + 1], c])) for d, c in zip(doc, which, strict=True)], np.int64)
+                place = first_tops(conv, first, doc, which)
                 g = part[doc, which]
                 df = np.zeros_like(f)
                 for j in range(len(f)):
@@ -172,16 +210,48 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str], channels: int
                 total = np.zeros((len(rows), channels), np.float32)
                 np.add.at(total, back_to.ravel(), np.repeat(g, len(PREFIXES), 0))
                 step(0, total, rows)
-    z = np.concatenate([net.logits(i, f) for i, f, _ in prepared])
-    cut = break_even(z, labels)
-    net.scale = 1.0 / max(float(np.median(np.abs(z - cut))) / 4, 1e-3)
-    net.shift = -net.scale * cut
+        now = judge(epoch)
+        best = now if now[0] > best[0] else best
+    _, epoch, z, shapes, net.bias = best
+    net.embedding, net.filters, net.biases, net.weights = shapes[0], shapes[1 : 1 + len(WIDTHS)], shapes[1 + len(WIDTHS) : -1], shapes[-1]
+    return net, epoch, z
+
+
+def train(texts: list[str], labels: np.ndarray, langs: list[str], channels: int = 8, filters: int = 8, epochs: int = 8, batch: int = 64, rate: float = 0.02, few: int = 200, seed: int = 0) -> Network:
+    """Fit the network, and calibrate it on rows that it hasn't learned from.
+
+    A quarter of each label's rows is kept apart, and learn() judges epochs by it.  Where a label has fewer than
+    `few` rows, each quarter is kept apart in turn, and the network is then learned from all rows in as many
+    epochs as the four took on average.  The logits of the rows kept apart give the slope and the shift that
+    make scores chances, and each language's threshold, that of the fewest errors (0.5 where a language has
+    fewer than 10 of either label among them).
+    """
+    rng = np.random.default_rng(seed)
+    if not len(texts) or min(labels.sum(), len(labels) - labels.sum()) < 2:
+        none = np.zeros((len(PREFIXES) * BUCKETS, channels), np.float32)
+        bias = -1.0 if not len(texts) or labels.mean() < 0.5 else 1.0
+        return Network(none, [np.zeros((w, channels, filters), np.float32) for w in WIDTHS], [np.zeros(filters, np.float32) for _ in WIDTHS], np.zeros(len(WIDTHS) * filters, np.float32), bias)
+    order = rng.permutation(len(texts))
+    texts, labels, langs = [texts[i] for i in order], labels[order].astype(np.float64), np.array([langs[i] or "" for i in order])
+    quarter = parts_of(labels, rng, 4)
+
+    def prepare(rows: np.ndarray) -> list[Batch]:
+        return [(*features(pa.array([texts[i] for i in rows[k : k + batch]], pa.string())), labels[rows[k : k + batch]]) for k in range(0, len(rows), batch)]
+
+    turns = 1 if min(labels.sum(), len(labels) - labels.sum()) >= few else min(4, int(min(labels.sum(), len(labels) - labels.sum())))
+    z, apart, taken = np.zeros(len(labels)), quarter < turns, []
+    for turn in range(turns):
+        net, epoch, z[quarter == turn] = learn(prepare(np.flatnonzero(quarter != turn)), prepare(np.flatnonzero(quarter == turn)), channels, filters, epochs, rate, rng)
+        taken.append(epoch)
+    if turns > 1:
+        net, _, _ = learn(prepare(np.arange(len(labels))), [], channels, filters, round(np.mean(taken)), rate, rng)
+    z, labels, langs = z[apart], labels[apart], langs[apart]
+    net.scale, net.shift = logistic(z, labels)
     scores = 1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -40, 40)))
-    langs = np.array([x or "" for x in langs])
     for lang in np.unique(langs):
-        y = labels[langs == lang]
-        if min(y.sum(), len(y) - y.sum()) >= 20:
-            net.thresholds[str(lang)] = float(np.clip(break_even(scores[langs == lang], y), 0.05, 0.95))
+        told = labels[langs == lang]
+        if min(told.sum(), len(told) - told.sum()) >= 10:
+            net.thresholds[str(lang)] = float(np.clip(break_even(scores[langs == lang], told), 0.2, 0.8))
     return net
 
 
@@ -196,7 +266,7 @@ def break_even(z: np.ndarray, labels: np.ndarray) -> float:
 
 
 def held_out(doc_id: int | None) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 5 == 0
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, seed: int = 0, **options) -> Network:
@@ -204,16 +274,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, seed: int = 0, **o
 
     The sample is drawn from the labels alone, those with the least hashes of doc_id; rows whose crc32(doc_id)
     mod 5 is 0 are never used.  Its ids, at most `most`, are broadcast to the documents.  Texts of any length
-    take part whole, in training and in setting the thresholds.  Of rows with one doc_id all are used.
+    take part whole.  A null text is an empty one; a null doc_id or label joins nothing; of a doc_id with
+    several labels the greatest counts.  Of rows with one doc_id the least text alone is learned from, so no more
+    than `most` rows come to the driver, whatever the ids.  Without rows of both labels the network gives one score to all.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     rank = F.xxhash64(F.lit(seed), "doc_id")
     drawn = [(row.doc_id, row.toxic) for y in (0, 1) for row in known.where(F.col("toxic") == y).orderBy(rank, "doc_id").limit(most // 2).collect()]
-    sample = docs.sparkSession.createDataFrame(drawn, "doc_id long, toxic int")
-    taken = docs.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(sample), "doc_id").collect()
+    sample = docs.sparkSession.createDataFrame(drawn, StructType([known.schema["doc_id"], StructField("toxic", IntegerType())]))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(sample), "doc_id")
+    taken = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic")).alias("row")).select("doc_id", "row.*").collect()
     taken.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text or "" for r in taken], np.array([r.toxic for r in taken], np.int64), [r.lang for r in taken], seed=seed, **options)
+    return train([r.text for r in taken], np.array([r.toxic for r in taken], np.int64), [r.lang for r in taken], seed=seed, **options)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

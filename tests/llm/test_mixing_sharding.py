@@ -83,6 +83,22 @@ def test_matrix_margins(spark):
     assert [sum(r[k] for r in rows.values()) for k in range(3)] == sizes
 
 
+def test_equal_rows_are_spread(spark):
+    """A third of all rows are equal: their numbers are whole, and no part holds more of them than its share."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.struct(F.lit(0).alias("f"), F.col("id").alias("i")).alias("rk"))
+    got = sharding.number_equal(rows, ["doc_id"], 10).collect()
+    assert sorted(r._n for r in got if r.doc_id is None) == list(range(1, 1001))
+    assert {r._n for r in got if r.doc_id is not None} == {1}
+    dealt = sharding.deal(rows, ["doc_id"], 7).groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("null"), F.max("slot").alias("last")).collect()
+    assert all(428 <= r.n <= 429 and r.last == r.n - 1 and 90 < r.null < 200 for r in dealt) and len(dealt) == 7
+
+
+def test_blocks_grow_with_the_rows():
+    for total in (0, 1, 5000, 10**6, 10**8, 10**9, 10**12):
+        blocks = sharding.source_blocks(total)
+        assert total / blocks <= sharding.MOST_ROWS and blocks <= max(4100, total / 65000)
+
+
 def places(df):
     return sorted((r.shard, r.slot, r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect())
 
@@ -94,7 +110,7 @@ def test_shard(docs, none, corpus, monkeypatch):
     assert max(per.values()) - min(per.values()) <= 1 and len(per) == 7
     assert all([p for s, p, *_ in got if s == k] == list(range(per[k])) for k in per)
     assert places(sharding.shard(docs.repartition(2), 7)) == got
-    monkeypatch.setattr(sharding, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(sharding, "MOST_ROWS", 8)
     monkeypatch.setattr(sharding, "RANGE_ROWS", 3)
     got = places(sharding.shard(docs, 7, seed=5))
     per = Counter(s for s, *_ in got)
@@ -105,7 +121,7 @@ def test_shard(docs, none, corpus, monkeypatch):
 
 def test_shard_is_uniform(spark):
     """Over seeds, a row's shard and the pairing of two rows are as in a random permutation."""
-    docs = spark.range(40).select(F.col("id").alias("doc_id"))
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.struct(F.lit(0).alias("f"), F.col("id").alias("i")).alias("rk"))
     hits, pairs, n = Counter(), 0, 60
     for seed in range(n):
         at = {r.doc_id: r.shard for r in sharding.deal(docs, ["doc_id"], 4, seed).collect()}

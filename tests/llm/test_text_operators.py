@@ -1,8 +1,14 @@
 """Decontamination, toxicity, page extraction and chat formatting."""
 
 import hashlib
+import json
+import pickle
 import random
+import time
+import types
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +77,31 @@ def test_item_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontam.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()) == [(k, k) for k in range(5)]
 
 
+@pytest.mark.parametrize("kind", ["string", "smallint", "decimal(9,0)"])
+def test_ids_of_any_type(spark, kind):
+    items = [(k, " ".join(f"w{k}{j}" for j in range(15))) for k in range(5)]
+    df = spark.createDataFrame([(k, "x y z " + t) for k, t in items] + [(None, "x " + items[2][1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontam.contamination(df.withColumn("doc_id", F.col("doc_id").cast(kind)), bench.withColumn("item_id", F.col("item_id").cast(kind)))
+    assert [f.dataType.simpleString() for f in out.schema][:2] == [kind] * 2
+    assert {(r.doc_id and int(r.doc_id), int(r.item_id)) for r in out.collect()} == {(k or None if k is None else k, k) for k in range(5)} | {(None, 2)}
+
+
+def test_broadcast_blocks_are_bounded():
+    """2000 items of up to 5000 words come in blocks of less than 50 MB each, and windows of all lengths walk as items do."""
+    rng = random.Random(3)
+    rows = [types.SimpleNamespace(item_id=k, text=" ".join(str(rng.randrange(10**6)) for _ in range(rng.randint(1, 5000)))) for k in range(2000)]
+    blocks = list(decontam.item_blocks(rows))
+    assert [r.item_id for b in blocks for r in b] == list(range(2000))
+    for block in (blocks[0], blocks[-1]):
+        symbols, first = decontam.word_hashes(pa.array([r.text for r in block]))
+        items = decontam.Items([r.item_id for r in block], [symbols[a:b] for a, b in zip(first, first[1:])], 0.2)
+        assert len(pickle.dumps(items)) < 50 << 20
+    k = int(np.argmax(items.lengths))
+    text = np.concatenate([symbols[:0], np.arange(1, 50, dtype=np.uint64), items.words[k], np.arange(1, 50, dtype=np.uint64)])
+    assert (0, k, 49, 0) in decontam.find(text, np.array([0, len(text)]), items)
+
+
 def test_embedding_keeps_edit_distance():
     """Near strings agree in more of the embedding's samples than far ones."""
     rng = np.random.default_rng(0)
@@ -80,9 +111,8 @@ def test_embedding_keeps_edit_distance():
     flat = np.concatenate([x, near, far])
     same = np.zeros(2)
     for walk in range(60):
-        weights = np.zeros((1, 60), np.int64)
-        weights[0] = 1 << np.arange(60)
-        a, b, c = decontam.embed(flat, np.array([0, 40, 80]), np.array([40] * 3), weights, np.zeros(3, int), walk).tolist()
+        sample = decontam.Sample(np.arange(60), np.zeros(60, int), 1 << np.arange(60), np.array([60]))
+        a, b, c = decontam.embed(flat, np.array([0, 40, 80]), np.array([40] * 3), sample, np.zeros(3, int), walk).tolist()
         same += [60 - (a ^ b).bit_count(), 60 - (a ^ c).bit_count()]
     assert same[0] > 0.8 * 3600 and same[1] < 0.6 * 3600
 
@@ -163,6 +193,44 @@ def test_main_text_without_article():
     assert html.main_text("<p>a < b and </p") .startswith("a < b")
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='post social-history'><p>{}</p><p>{}</p></div>", "{} {}"),
+    ("<article><p>{}</p><section class='legal'><p>{}</p></section></article>", "{} {}"),
+    ("<article><p>{}</p><div class='related alert'><p>{}</p></div></article>", "{} {}"),
+    ("<form id=aspnet><div><p>{}</p><p>{}</p></div></form>", "{} {}"),
+])
+def test_common_words_delete_nothing(page, text):
+    said = "One sentence, of some length, that says nothing at all.", "Another sentence, longer, that says as much, or as little."
+    assert html.main_text(f"<body>{page.format(*said)}</body>") == text.format(*said)
+
+
+def agreement(got, want):
+    a, b = Counter(got.split()), Counter(want.split())
+    return 2 * (a & b).total() / max(1, a.total() + b.total())
+
+
+def test_the_ratios_choose(monkeypatch):
+    """On pages without article, main, or names that tell, the ratios find the marked text; random numbers in their place don't."""
+    pages = [json.loads(line) for line in (Path(__file__).parent / "pages.jsonl").read_text().splitlines()]
+    got = [html.main_text(p["html"]) for p in pages]
+    assert sum(g == p["text"] for g, p in zip(got, pages)) >= 54 and np.mean([agreement(g, p["text"]) for g, p in zip(got, pages)]) > 0.99
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(html, "scores", lambda page: (lambda x: (x, x))(rng.random(len(page.texts))))
+    got = [html.main_text(p["html"]) for p in pages]
+    assert sum(g == p["text"] for g, p in zip(got, pages)) <= 3 and np.mean([agreement(g, p["text"]) for g, p in zip(got, pages)]) < 0.95
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>x", "<foo>x", "<foo><li>", "</x>", "<script ", "<!", '<a "', "<a '\">", "<p>x</p>", "&amp", "<b>"])
+def test_time_grows_with_the_page(piece):
+    html.main_text(piece * 1000)
+    times = []
+    for size in (250_000, 1_000_000):
+        start = time.process_time()
+        html.main_text(piece * (size // len(piece)))
+        times.append(time.process_time() - start)
+    assert times[1] < 10 and times[1] < 8 * times[0] + 0.5
+
+
 SAID = "This sentence is long, with commas, and it goes on and on, until it ends."
 
 
