@@ -5,11 +5,13 @@ Every function takes the operands' logical types; operands meet in their dominan
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import wrap
-from .types import UnsupportedType, bounds, dominant_type, is_float, is_integer, is_signed, spark_type
+from .types import UnsupportedType, bits, bounds, dominant_type, is_float, is_integer, is_signed, spark_type
 
 
 def _meet(left: Column, right: Column, kinds: tuple[str, str]) -> tuple[Column, Column, str]:
@@ -34,18 +36,37 @@ def _wrapping(left: Column, right: Column, kinds: tuple[str, str], whole, real)
     return wrap.to_type(whole(wrap.to_long(left, kind), wrap.to_long(right, kind)), kind)
 
 
+def _on_lists(op):
+    """op on numbers as an operator on lists of numbers, too: item by item; null where the lengths differ."""
+
+    @wraps(op)
+    def run(left: Column, right: Column, kinds: tuple[str, str]) -> Column:
+        if not any(k.startswith("list<") for k in kinds):
+            return op(left, right, kinds)
+        item = dominant_type(*kinds)[5:-1]
+        if not (is_float(item) or is_integer(item)):
+            raise UnsupportedType(f"no arithmetic on list<{item}>")
+        return F.when(F.size(left) == F.size(right), F.zip_with(left, right, lambda a, b: op(a, b, (item, item))))
+
+    return run
+
+
+@_on_lists
 def add(left: Column, right: Column, kinds: tuple[str, str]) -> Column:
     return _wrapping(left, right, kinds, wrap.add64, lambda a, b: a + b)
 
 
+@_on_lists
 def sub_wrapping(left: Column, right: Column, kinds: tuple[str, str]) -> Column:
     return _wrapping(left, right, kinds, wrap.sub64, lambda a, b: a - b)
 
 
+@_on_lists
 def mul_wrapping(left: Column, right: Column, kinds: tuple[str, str]) -> Column:
     return _wrapping(left, right, kinds, wrap.mul64, lambda a, b: a * b)
 
 
+@_on_lists
 def div(left: Column, right: Column, kinds: tuple[str, str]) -> Column:
     """Integers divide toward zero; by zero gives null, the least by -1 wraps.  Floats by zero give inf or NaN."""
     left, right, kind = _meet(left, right, kinds)
@@ -71,6 +92,7 @@ def _negative_zero(x: Column) -> Column:
     return x.cast("string").startswith("-")
 
 
+@_on_lists
 def rem(left: Column, right: Column, kinds: tuple[str, str]) -> Column:
     """The remainder with the dividend's sign; null for integers by zero, NaN for floats by zero."""
     left, right, kind = _meet(left, right, kinds)
@@ -131,6 +153,22 @@ def shift_right(a: Column, n: int) -> Column:
     return F.shiftright(a, n)
 
 
+def byte_swap(x: Column, kind: str) -> Column:
+    """An integer of 16, 32 or 64 bits with its bytes in the opposite order."""
+    if not is_integer(kind) or bits(kind) == 8:
+        raise UnsupportedType(f"no bytes to swap in {kind}")
+    long, out = wrap.to_long(x, kind), F.lit(0).cast("long")
+    for k in range(bits(kind) // 8):
+        byte = F.shiftright(long, 8 * k).bitwiseAND(F.lit(0xFF).cast("long"))
+        out = out.bitwiseOR(F.shiftleft(byte, bits(kind) - 8 - 8 * k))
+    return wrap.to_type(out, kind)
+
+
+def splat(x: Column, count: int) -> Column:
+    """A list of count times the value; a null value gives null."""
+    return F.when(x.isNotNull(), F.array_repeat(x, count))
+
+
 def multiply_fixed_point(a: Column, b: Column, precision: int, scale: int) -> Column:
     """Decimals multiplied and rounded to a fixed scale; null where the product doesn't fit."""
     return F.try_multiply(a, b).try_cast(f"decimal({precision},{scale})")

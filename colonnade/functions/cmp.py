@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .types import dominant_type, spark_type
+from .types import dominant_type, is_float, is_integer, spark_type
 
 
 def _meet(left: Column, right: Column, kinds: tuple[str, str] | None) -> tuple[Column, Column]:
@@ -56,14 +56,31 @@ def not_distinct(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def between(x: Column, low: Column, high: Column) -> Column:
-    """Half open: low <= x < high; bounds may be columns.  A null operand gives null."""
-    return (x >= low) & (x < high)
+def between(x: Column, low: Column, high: Column, kinds: tuple[str, str, str] | None = None) -> Column:
+    """Half open: low <= x < high; bounds may be columns.  A null operand gives null, whatever the others say.
 
+    With the operands' logical types, all three meet in their dominant type.
+    """
+    if kinds is not None and len(set(kinds)) > 1:
+        kind = spark_type(dominant_type(dominant_type(kinds[0], kinds[1]), kinds[2]))
+        x, low, high = x.cast(kind), low.cast(kind), high.cast(kind)
+    # A null x makes both sides null; with literal bounds plain conditions are left, which are pushed down.
+    return F.when(low.isNotNull() & high.isNotNull(), (x >= low) & (x < high))
+
+
+def bounds(x: Column, low: Column, high: Column, kinds: tuple[str, str, str] | None = None) -> Column:
+    """Aggregate: whether low <= x < high in all rows; rows with a null are passed over; true of no rows."""
+    return F.coalesce(F.bool_and(between(x, low, high, kinds)), F.lit(True))
 
-def bounds(x: Column, low: Column, high: Column) -> Column:
-    """Aggregate: whether low <= x < high in all rows; nulls are passed over; true of no rows."""
-    return F.coalesce(F.bool_and(between(x, low, high)), F.lit(True))
+
+def compare_lists(compare: Callable[[Column, Column], Column], left: Column, right: Column, item: str) -> Column:
+    """Lists of one fixed length and item type by lt, lt_eq, gt, gt_eq, eq or neq; null where a list is null or the lengths differ.
+
+    Lists of numbers are compared item by item, which gives a list of booleans; lists of strings or booleans as
+    wholes, in lexicographic order, which gives one boolean.
+    """
+    out = F.zip_with(left, right, lambda a, b: compare(a, b)) if is_float(item) or is_integer(item) else compare(left, right)
+    return F.when(F.size(left) == F.size(right), out)
 
 
 def in_list(x: Column, values: list) -> Column:

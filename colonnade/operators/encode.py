@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.functions.types import bounds, spark_type
+
 from .position import with_position
 
 
-def dictionary(df: DataFrame, column: str, position: str = "_pos") -> DataFrame:
-    """Rows (key, value): distinct values, numbered from 0 in the order in which they come first; null has none."""
+def dictionary(df: DataFrame, column: str, position: str = "_pos", kind: str = "i64") -> DataFrame:
+    """Rows (key, value): distinct values, numbered from 0 in the order in which they come first; null has none.
+
+    kind is the keys' integer type.  All its numbers from 0 on may be keys (256 of u8); one value more raises.
+    """
     firsts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(position).alias("_first"))
-    return with_position(firsts, [F.col("_first")], "key").select("key", F.col(column).alias("value"))
+    numbered = with_position(firsts, [F.col("_first")], "key").select("key", F.col(column).alias("value"))
+    if kind == "i64":
+        return numbered
+    full = F.raise_error(F.lit(f"more values than {kind} has keys")).cast("long")
+    key = F.when(F.col("key") <= F.lit(bounds(kind)[1]), F.col("key")).otherwise(full)
+    return numbered.select(key.cast(spark_type(kind)).alias("key"), "value")
 
 
-def dictionary_encode(df: DataFrame, column: str, position: str = "_pos") -> tuple[DataFrame, DataFrame]:
+def dictionary_encode(df: DataFrame, column: str, position: str = "_pos", kind: str = "i64") -> tuple[DataFrame, DataFrame]:
     """(rows (position, key), dictionary)."""
-    values = dictionary(df, column, position)
+    values = dictionary(df, column, position, kind)
     keys = df.select(position, column).join(values, F.col(column) == F.col("value"), "left").select(position, "key")
     return keys, values
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colonnade.functions.cmp import total_order_key
 
-from .position import running_sum, with_position
+from .position import free_name, running_sum, with_position
 
 
 @dataclass(frozen=True)
@@ -57,9 +57,10 @@ def topk_indices(df: DataFrame, columns: list[str], k: int, options: list[SortOp
 def rank(df: DataFrame, column: str, options: SortOptions | None = None) -> DataFrame:
     """df with rank, from 1: rows with equal values share the rank of the last of them."""
     order = [(options or SortOptions()).apply(F.col(column))]
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    ranks = running_sum(counts, order, F.col("_n"), "rank").select(F.col(column).alias("_c"), "rank")
-    return df.join(ranks, F.col(column).eqNullSafe(F.col("_c"))).drop("_c")
+    n, key = (free_name(name, column, "rank", *df.columns) for name in ("_n", "_c"))
+    counts = df.groupBy(column).agg(F.count("*").alias(n))
+    ranks = running_sum(counts, order, F.col(n), "rank").select(F.col(column).alias(key), "rank")
+    return df.join(ranks, df[column].eqNullSafe(F.col(key))).drop(key)
 
 
 def lower_bound(keys: DataFrame, key: str, values: DataFrame, value: str, options: SortOptions | None = None) -> DataFrame:
@@ -73,13 +74,15 @@ def lower_bound(keys: DataFrame, key: str, values: DataFrame, value: str, option
     asked = keys.select(F.col(key).alias("_x")).distinct()
     both = counts.withColumn("_value", F.lit(1)).unionByName(asked.withColumn("_n", F.lit(0).cast("long")).withColumn("_value", F.lit(0)))
     summed = running_sum(both, [order(F.col("_x")), F.col("_value").asc()], F.col("_n"), "bound").where("_value = 0").select("_x", "bound")
-    return keys.join(summed, F.col(key).eqNullSafe(F.col("_x"))).drop("_x")
+    x = free_name("_x", *keys.columns)
+    return keys.join(summed.withColumnRenamed("_x", x), keys[key].eqNullSafe(F.col(x))).drop(x)
 
 
 def shift(df: DataFrame, column: str, by: int, name: str, position: str = "_pos") -> DataFrame:
     """df with name: the value `by` positions earlier (later where negative), null beyond the ends.  An equi-join on dense positions."""
-    side = df.select((F.col(position) + by).alias("_at"), F.col(column).alias(name))
-    return df.join(side, F.col(position) == F.col("_at"), "left").drop("_at")
+    at = free_name("_at", name, *df.columns)
+    side = df.select((F.col(position) + by).alias(at), F.col(column).alias(name))
+    return df.join(side, df[position] == side[at], "left").drop(at)
 
 
 def _flipped(x: Column) -> Column:

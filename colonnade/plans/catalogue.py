@@ -6,14 +6,18 @@ Positions are dense keys of the tables: o_orderkey, event_id, doc_id, vec_id; li
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.functions import arith, boolean, cmp, hashing, lists, vec
 from colonnade.functions.cast import cast
+from colonnade.functions.types import dominant_type, logical_type
 from colonnade.operators import aggregate, compute, encode, select, sort
 from colonnade.operators.aggregate import Aggregate
+from colonnade.operators.iterate import KINDS as ITERATED
+from colonnade.operators.iterate import iterate
 from colonnade.operators.position import with_position
 from colonnade.operators.sort import SortOptions
 from colonnade.sources import table
@@ -68,7 +72,11 @@ for op, sign in (("lt", "<"), ("lt_eq", "<="), ("gt", ">"), ("gt_eq", ">="), ("e
         lambda f=getattr(cmp, op): {"scalar": f(c("l_quantity"), F.lit(25), ("f64", "i32")), "columns": f(c("l_partkey"), c("l_linenumber") * 1000, ("i64", "i32")), "text": f(c("l_returnflag"), F.lit("N"))},
         f"l_quantity {sign} 25 AS scalar, l_partkey {sign} l_linenumber * 1000 AS columns, l_returnflag {sign} 'N' AS text",
     )
-per_row("cmp_list", "embeddings", "vec_id", lambda: {"below": F.slice("embedding", 1, 2) < F.array(F.lit(0.0).cast("float"), F.lit(0.0).cast("float"))}, "embedding[1:2] < [0::FLOAT, 0::FLOAT] AS below")
+per_row("cmp_list", "embeddings", "vec_id", lambda: {"lanes": cmp.compare_lists(cmp.lt, F.slice("embedding", 1, 4), arith.splat(F.lit(0.0).cast("float"), 4), "f32")}, "list_transform(embedding[1:4], lambda x: x < 0) AS lanes")
+per_row("cmp_list_text", "nation", "n_nationkey", lambda: {"below": cmp.compare_lists(cmp.lt, F.array(F.substring("n_name", 1, 1), "n_name"), F.array(F.lit("F"), F.lit("FRANCE")), "utf8")}, "[substr(n_name, 1, 1), n_name] < ['F', 'FRANCE'] AS below")
+per_row("cmp_between_types", "lineitem", LINE_KEYS, lambda: {"b": cmp.between(c("l_linenumber"), c("l_discount") * 20, c("l_partkey"), ("i32", "f64", "i64")), "null": cmp.between(c("l_linenumber"), F.lit(9), F.nullif(c("l_linenumber"), F.lit(2)))}, "l_linenumber >= l_discount * 20 AND l_linenumber < l_partkey::DOUBLE AS b, CASE WHEN l_linenumber <> 2 THEN false END AS null")
+per_row("arith_list", "embeddings", "vec_id", lambda: {"v": arith.add(arith.mul_wrapping(F.slice("embedding", 1, 4), F.slice("embedding", 5, 4), ("list<f32>", "list<f32>")), F.slice("embedding", 9, 4), ("list<f32>", "list<f32>"))}, "list_transform(range(1, 5), lambda i: embedding[i] * embedding[i + 4] + embedding[i + 8]) AS v")
+per_row("arith_byte_swap", "lineitem", LINE_KEYS, lambda: {"b": arith.byte_swap(c("l_linenumber"), "i32")}, "l_linenumber << 24 AS b")
 per_row("cmp_between_half_open", "lineitem", LINE_KEYS, lambda: {"fixed": cmp.between(c("l_quantity"), F.lit(10), F.lit(20)), "columns": cmp.between(c("l_discount"), c("l_tax"), F.lit(0.09))}, "l_quantity >= 10 AND l_quantity < 20 AS fixed, l_discount >= l_tax AND l_discount < 0.09 AS columns")
 
 
@@ -145,6 +153,7 @@ per_row("cast_widen", "lineitem", LINE_KEYS, lambda: {"l": cast(c("l_linenumber"
 per_row("cast_truncate", "lineitem", LINE_KEYS, lambda: {"i8": cast(c("l_partkey"), "i64", "i8").cast("int"), "i16": cast(c("l_partkey") * 37, "i64", "i16").cast("int"), "u8": cast(c("l_partkey"), "i64", "u8").cast("int"), "i32": cast(c("l_partkey") * 99991117, "i64", "i32")}, f"{_wrapped('l_partkey::HUGEINT', 8)}::INTEGER AS i8, {_wrapped('l_partkey::HUGEINT * 37', 16)}::INTEGER AS i16, (l_partkey % 256)::INTEGER AS u8, {_wrapped('l_partkey::HUGEINT * 99991117', 32)}::INTEGER AS i32")
 per_row("cast_float_int", "lineitem", LINE_KEYS, lambda: {"l": cast(c("l_extendedprice"), "f64", "i64"), "n": cast(-c("l_extendedprice"), "f64", "i32"), "out": cast(c("l_extendedprice"), "f64", "i8").isNull()}, "trunc(l_extendedprice)::BIGINT AS l, trunc(-l_extendedprice)::INTEGER AS n, l_extendedprice >= 128 AS \"out\"")
 per_row("cast_bool", "lineitem", LINE_KEYS, lambda: {"b": cast(c("l_discount"), "f64", "bool"), "i": cast(c("l_quantity") > 25, "bool", "i32")}, "l_discount <> 0 AS b, (l_quantity > 25)::INTEGER AS i")
+per_row("cast_identity", "lineitem", LINE_KEYS, lambda: {"d": cast(c("l_discount"), "f64", "f64"), "t": cast(c("l_returnflag"), "utf8", "utf8")}, "l_discount AS d, l_returnflag AS t")
 per_row("cast_text", "part", "p_partkey", lambda: {"t": cast(cast(c("p_name"), "utf8", "binary"), "binary", "utf8")}, "p_name AS t")
 per_row("cast_list", "embeddings", "vec_id", lambda: {"n": lists.list_len(cast(c("embedding"), "list<f32>", "list<f64>")), "first": F.get(cast(c("embedding"), "list<f32>", "list<f64>"), F.lit(0))}, "len(embedding) AS n, embedding[1]::DOUBLE AS first")
 
@@ -332,12 +341,12 @@ def agg_sum(spark, sf_dir):
 
 @query("SELECT l_returnflag, min(l_partkey) AS p, min(l_linestatus) AS s FROM lineitem GROUP BY ALL")
 def agg_min(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.min("l_partkey").alias("p"), F.min("l_linestatus").alias("s"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(aggregate.grouped_min(c("l_partkey"), "i64").alias("p"), aggregate.grouped_min(c("l_linestatus"), "utf8").alias("s"))
 
 
 @query("SELECT l_returnflag, max(l_partkey) AS p, max(l_linestatus) AS s FROM lineitem GROUP BY ALL")
 def agg_max(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.max("l_partkey").alias("p"), F.max("l_linestatus").alias("s"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(aggregate.grouped_max(c("l_partkey"), "i64").alias("p"), aggregate.grouped_max(c("l_linestatus"), "utf8").alias("s"))
 
 
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY ALL")
@@ -366,7 +375,7 @@ def agg_merge_most_recent(spark, sf_dir):
 
 @query("SELECT l_returnflag, min(l_quantity > 49) AS least, max(l_quantity > 49) AS most FROM lineitem GROUP BY ALL")
 def agg_boolean(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.min(c("l_quantity") > 49).alias("least"), F.max(c("l_quantity") > 49).alias("most"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(aggregate.grouped_min(c("l_quantity") > 49, "bool").alias("least"), aggregate.grouped_max(c("l_quantity") > 49, "bool").alias("most"))
 
 
 # Lists and vectors.
@@ -398,6 +407,34 @@ def vec_nearest(spark, sf_dir):
     return vec.nearest_neighbor(table(spark, sf_dir, "embeddings"), _QUERY, "embedding", "vec_id")
 
 
+# Values on the driver: the tables are small, as the operator is for.
+SHOWN = {"u64": "bigint", "bytes": "string"}
+for kind, column, sql in (("i64", "n_regionkey", "n_regionkey::BIGINT"), ("u64", "n_regionkey", "n_regionkey::BIGINT"), ("u8", "n_regionkey", "n_regionkey::SMALLINT"), ("f64", "n_regionkey", "n_regionkey::DOUBLE"), ("bytes", "n_name", "n_name")):
+    for nonnull in (False, True):
+
+        def run(spark, sf_dir, kind=kind, column=column, nonnull=nonnull):
+            df = table(spark, sf_dir, "nation").select("n_nationkey", F.when(c("n_nationkey") % 5 > 0, c(column)).alias("x"))
+            values = [(p, None if v is None else Decimal(v) if kind == "u64" else v) for p, v in iterate(df, "x", kind, "n_nationkey", nonnull, indexed=True)]
+            return spark.createDataFrame(values, f"n_nationkey int, v {ITERATED[kind]}").select("n_nationkey", c("v").isNull().alias("null"), F.coalesce(c("v").cast(SHOWN.get(kind, ITERATED[kind])), F.lit("" if kind == "bytes" else 0)).alias("v"))
+
+        name = f"iter_{kind}" + "_nonnull" * nonnull
+        QUERIES[name] = run
+        ORACLE_SQL[name] = f"SELECT n_nationkey, n_nationkey % 5 = 0 AS null, CASE WHEN n_nationkey % 5 > 0 THEN {sql} ELSE {"''" if kind == 'bytes' else 0} END AS v FROM nation" + " WHERE n_nationkey % 5 > 0" * nonnull
+
+
+@query("SELECT * FROM (VALUES ('l_orderkey', 'i64'), ('l_linenumber', 'i32'), ('l_quantity', 'f64'), ('l_returnflag', 'utf8')) t(name, logical)")
+def type_logical(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    names = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    return spark.createDataFrame([(n, logical_type(df, n)) for n in names], "name string, logical string")
+
+
+@query("""SELECT * FROM (VALUES ('i8', 'i32', 'i32'), ('u8', 'i8', 'i64'), ('i64', 'f32', 'f64'), ('utf8', 'binary', 'utf8'), ('u16', 'u64', 'u64'), ('bool', 'i16', 'i16')) t(a, b, dominant)""")
+def type_dominant(spark, sf_dir):
+    pairs = [("i8", "i32"), ("u8", "i8"), ("i64", "f32"), ("utf8", "binary"), ("u16", "u64"), ("bool", "i16")]
+    return spark.createDataFrame([(a, b, dominant_type(a, b)) for a, b in pairs], "a string, b string, dominant string")
+
+
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS total, min(l_partkey) AS least, max(l_partkey) AS most FROM lineitem
 WHERE l_quantity >= 10 AND l_quantity < 20 AND l_returnflag LIKE 'A%' GROUP BY ALL ORDER BY n DESC, l_returnflag, l_linestatus LIMIT 5""")
 def flagship(spark, sf_dir):

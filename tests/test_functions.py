@@ -171,3 +171,37 @@ def test_lists_vectors_hashes(spark):
     assert got[0] == got[1] != got[3] and got[2] is None
     with pytest.raises(types.UnsupportedType):
         hashing.hash_unchained(c("x"), "f64")
+
+
+def test_between_nulls_and_types(spark):
+    df = spark.createDataFrame([(5, 10, None), (5, None, 3), (None, 1, 9), (5, 5, 6), (5, 6, 9)], "x int, lo int, hi int")
+    got = [r[0] for r in df.select(cmp.between(F.col("x"), F.col("lo"), F.col("hi"))).collect()]
+    assert got == [None, None, None, True, False]
+    one = spark.range(1).select(cmp.between(F.lit(2), F.lit(1.5), F.lit(2.5), ("i32", "f64", "f64")), cmp.between(F.lit(2), F.lit(2.5), F.lit(3), ("i32", "f64", "i64"))).first()
+    assert tuple(one) == (True, False)
+    with pytest.raises(TypeError):
+        cmp.between(F.lit("a"), F.lit(1), F.lit(2), ("utf8", "i32", "i32"))
+    assert df.agg(cmp.bounds(F.col("x"), F.col("lo"), F.col("hi"))).first()[0] is False
+
+
+def test_lists_of_numbers_and_texts(spark):
+    df = spark.createDataFrame([([1, 5], [2, 4], ["a", "b"], ["a", "c"]), ([1], [1, 2], None, ["x"])], "a array<int>, b array<int>, s array<string>, t array<string>")
+    got = df.select(cmp.compare_lists(cmp.lt, F.col("a"), F.col("b"), "i32"), cmp.compare_lists(cmp.lt, F.col("s"), F.col("t"), "utf8"), cmp.compare_lists(cmp.eq, F.col("s"), F.col("t"), "utf8")).collect()
+    assert [tuple(r) for r in got] == [([True, False], True, False), (None, None, None)]
+    kinds = ("list<i32>", "list<i32>")
+    got = df.select(arith.add(F.col("a"), F.col("b"), kinds), arith.mul_wrapping(F.col("a"), F.col("b"), kinds)).collect()
+    assert [tuple(r) for r in got] == [([3, 9], [2, 20]), (None, None)]
+    big = spark.range(1).select(arith.mul_wrapping(F.array(F.lit(2**30)), F.array(F.lit(4)), kinds), arith.byte_swap(F.lit(1), "i32"), arith.byte_swap(F.lit(-2).cast("long"), "i64"), arith.splat(F.lit(7), 3)).first()
+    assert tuple(big) == ([0], 1 << 24, int.from_bytes((-2).to_bytes(8, "little", signed=True), "big", signed=True), [7, 7, 7])
+    for bad in (("list<utf8>", "list<utf8>"), ("list<i32>", "list<i64>"), ("list<i32>", "i32")):
+        with pytest.raises(TypeError):
+            arith.add(F.col("a"), F.col("b"), bad)
+
+
+def test_vectors_that_do_not_fit(spark):
+    for bad in (None, [1.0]):
+        df = spark.createDataFrame([(0, [1.0, 2.0]), (1, bad)], "p long, v array<float>")
+        with pytest.raises(Exception, match="takes vectors of 2 items"):
+            vec.nearest_neighbor(df, [1.0, 1.0], "v", "p").collect()
+    got = spark.createDataFrame([([3.0, 4.0],), (None,), ([0.0],)], "v array<float>").select(vec.norm(F.col("v"))).collect()
+    assert [round(x, 6) for x in got[0][0]] == [0.6, 0.8] and got[1][0] is None and got[2][0][0] != got[2][0][0]

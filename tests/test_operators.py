@@ -1,6 +1,9 @@
 """DataFrame operators against plain Python."""
 
+import os
 import random
+import subprocess
+import sys
 from bisect import bisect_left
 
 import pytest
@@ -199,3 +202,42 @@ def test_iterate(spark):
 def test_checked_product(spark, values, kind, want):
     df = spark.createDataFrame([(None if v is None else str(v),) for v in values], "x string").select(F.col("x").cast(SPARK[kind]).alias("x"))
     assert [r.product for r in compute.checked_product(df.repartition(3), "x", kind).collect()] == [want]
+
+
+def test_names_of_helpers_clash(spark):
+    """Columns whose names the operators use inside stay as they are."""
+    clash = ["_v", "_i", "_part", "_o", "_rank", "_found", "_at", "_src", "_n", "_c", "_x", "turn"]
+    df = spark.createDataFrame([(k, k % 3, *[f"{n}{k}" for n in clash]) for k in range(9)], "_pos long, x int, " + ", ".join(f"{n} string" for n in clash))
+    keep = lambda out: {tuple(r[n] for n in clash) for r in out.collect()}
+    want = keep(df)
+    idx = df.withColumn("a", F.lit(0)).withColumn("i", c("_pos"))
+    data = frame(spark, list(range(9)))
+    for out in (with_position(df, [c("_pos")], "p"), running_sum(df, [c("_pos")], c("x"), "s"), select.take(data.drop("x"), idx, "i"), select.interleave([data.drop("x")], idx),
+                sort.rank(df, "x"), sort.lower_bound(df, "x", data, "x"), sort.shift(df, "x", 1, "before")):
+        assert keep(out) == want and set(clash) <= set(out.columns)
+    assert rows(with_position(df, [c("_pos")], "p").select("p", "_pos"), "p") == [(k, k) for k in range(9)]
+
+
+def test_written_tables_go(tmp_path):
+    code = "from pyspark.sql import SparkSession\nfrom colonnade.operators.position import written\n" \
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()\n" \
+        "print(written(s.range(3)).count(), len(written(s.range(3)).inputFiles()) > 0)\n"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert said.stdout.split() == ["3", "True"] and not list(tmp_path.glob("colonnade-*"))
+
+
+def test_dictionary_keys(spark):
+    df = frame(spark, [k % 256 for k in range(600)])
+    keys, values = encode.dictionary_encode(df, "x", kind="u8")
+    assert values.count() == 256 and values.agg(F.max("key")).first()[0] == 255 and keys.schema["key"].dataType.simpleString() == "smallint"
+    for kind, most in (("u8", 256), ("i8", 128)):
+        assert encode.dictionary(frame(spark, list(range(most))), "x", kind=kind).count() == most
+        with pytest.raises(Exception, match="more values than"):
+            encode.dictionary(frame(spark, list(range(most + 1))), "x", kind=kind).collect()
+
+
+def test_merge_keeps_the_first_of_equal_orders(spark):
+    wanted = [Aggregate("most_recent", "last", "x", "i32", "o"), Aggregate("max", "turn", "x", "i32")]
+    parts = [aggregate.ingest(spark.createDataFrame([(0, 5, x), (1, x, x)], "g int, o int, x int"), ["g"], wanted) for x in (3, 1, 2)]
+    assert rows(aggregate.finish(aggregate.merge(parts, ["g"], wanted), ["g"], wanted), "g") == [(0, 3, 3), (1, 3, 3)]
+    assert rows(aggregate.finish(aggregate.merge(parts[::-1], ["g"], wanted), ["g"], wanted), "g") == [(0, 2, 3), (1, 3, 3)]
