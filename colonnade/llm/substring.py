@@ -173,7 +173,8 @@ def repeated_spans(keyed: DataFrame, width: int) -> DataFrame:
                 yield _batch([h, r1, r2, some.column("rk").take(pa.array(doc)), first, n], run_schema)
 
     every = cut(map_arrow(keyed, runs, run_sql), "runs")
-    twice = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # Written, so that both sides of the join are plain tables: the planner can then split the runs of a hot anchor.
+    twice = cut(every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "anchors")
     every = cut(every.join(twice, "h", "left_semi"), "runs", every)
     place = F.struct("rk", "first", "n")
     kinds = cut(every.groupBy("h", "r1", "r2").agg(F.count("*").alias("c"), F.any_value(place).alias("one")), "kinds")
@@ -207,7 +208,7 @@ def repeated_spans(keyed: DataFrame, width: int) -> DataFrame:
 
     single = cut(map_arrow(asked, windows, f"h long, w1 long, w2 long, rk {RK_SQL}, first int, twice boolean, words binary"), "windows")
     hashed = single.where("words is null").drop("words")
-    again = hashed.groupBy("h", "w1", "w2").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).where("c > 1").select("h", "w1", "w2")
+    again = cut(hashed.groupBy("h", "w1", "w2").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).where("c > 1").select("h", "w1", "w2"), "again")
     partly = hashed.where("not twice").join(again, ["h", "w1", "w2"], "left_semi").select("rk", "first", F.lit(1).alias("n"))
     shards = single.where("words is not null").select("h", "rk", "first", "twice", "words").repartition("h").sortWithinPartitions("h")
     match_schema = pa.schema([("rk", RK), ("first", pa.int32()), ("n", pa.int32())])
