@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 
@@ -42,12 +43,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: After so many tables the driver collects its garbage.
+COLLECT_EVERY = 8
+_tables = itertools.count(1)
+
+
 def cut(df: DataFrame, name: str, done: DataFrame | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs a read of that table.  The table's size is known, so the
     planner sees whether it may be broadcast.  It is removed when the driver's process ends.  done is an
     earlier result of cut() that nothing but df reads: it is removed as soon as df is written.
+
+    Spark drops the shuffle files and broadcasts of finished plans when the driver's collector finds them
+    unused.  Loops that write make many plans, so the collector runs after every COLLECT_EVERY tables.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/colonnade-{name}-{uuid.uuid4().hex}"
@@ -55,6 +64,8 @@ def cut(df: DataFrame, name: str, done: DataFrame | None = None) -> DataFrame:
     atexit.register(_remove, spark, path)
     if done is not None:
         _remove(spark, done._written)
+    if next(_tables) % COLLECT_EVERY == 0:
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
