@@ -132,17 +132,25 @@ def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether edges (a, b), a above b, are stars: each a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.max("root").alias("root"))
+    return nodes.where(F.col("ups") + F.col("root") > 1).agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of edges (a, b), longs: rows (node, root), root the least node of the component.
 
-    Alternates large-star and small-star rounds (Kiveris et al. 2014) until the edges no longer change.  Every
-    round is a join and an aggregation, each written to the shared folder; no component is gathered in one task.
+    Alternates large-star and small-star rounds (Kiveris et al. 2014) until the edges are stars, which a round
+    wouldn't change.  Every round is a join and an aggregation, each written to the shared folder; no component
+    is gathered in one task.
     An empty edge table gives no rows; loops and repeated edges do no harm; nulls are dropped.
     """
-    state = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    state = cut(state, "edges")
-    before = None
-    while True:
+    state = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
+    state = cut(state.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not _stars(state):
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -151,9 +159,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = down.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         state = cut(small.where("a <> b").distinct(), "edges", state)
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = state.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    leaves = state.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return cut(leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct()), "roots")

@@ -155,8 +155,8 @@ def open_pairs(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray
     return i, j
 
 
-def hubs_of(banded: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows (cid, band) and (cid, bytes) to the stars to compare: (cid, hub, below, blocks).
+def hubs_of(classes: DataFrame) -> DataFrame:
+    """Rows (cid, rk, copies, bytes, bands) to the stars to compare: (rk, cid, copies, hub, below, blocks).
 
     A bucket's hub is its least member, and a hub's star holds all members of its buckets.  Two classes are
     compared in the star of the least hub that both have; below lists a class's lesser hubs, by which other
@@ -164,23 +164,24 @@ def hubs_of(banded: DataFrame, sizes: DataFrame) -> DataFrame:
     nothing, so it is left out: most classes with few partners thus stand in one star alone.  blocks is the
     number of blocks of about BLOCK classes and BLOCK_BYTES of text into which the star is split.
     """
+    banded = classes.select("cid", F.explode("bands").alias("band"))
     buckets = cut(banded.groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "buckets")
     # buckets grow with the corpus and are never broadcast, so the plan is one at every size
-    stars = cut(banded.join(buckets.hint("merge"), "band").select("cid", "hub").distinct(), "stars", buckets)
-    own = stars.groupBy("cid").agg(F.array_sort(F.collect_set("hub")).alias("hubs")).join(sizes, "cid")  # at most one hub for each band
-    stars = cut(stars.join(own, "cid").select("cid", "hub", "hubs", "bytes"), "stars", stars)
+    stars = banded.join(buckets.hint("merge"), "band").groupBy("cid").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))  # at most one hub for each band
+    stars = stars.join(classes.select("cid", "rk", "copies", "bytes"), "cid")
+    stars = cut(stars.select("rk", "cid", "copies", "bytes", "hubs", F.explode("hubs").alias("hub")), "stars", buckets)
     least = F.col("hubs")[0]
     useful = stars.groupBy("hub").agg(F.min(least).alias("low"), F.max(least).alias("high"), F.count("*").alias("c"), F.sum("bytes").alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int")
     useful = cut(useful.where("low < high or low = hub").select("hub", blocks.alias("blocks")), "hubs")
-    return stars.join(useful, "hub").select("cid", "hub", F.filter("hubs", lambda h: h < F.col("hub")).alias("below"), "blocks")
+    return stars.join(useful, "hub").select("rk", "cid", "copies", "hub", F.filter("hubs", lambda h: h < F.col("hub")).alias("below"), "blocks")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows (rk, doc_id, cid) and, for classes with links, (cid, n_links, root, same).
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links): rows (rk, doc_id, s1, s2), classes (s1, s2, cid, copies, one, first) and, for classes with links, (cid, n_links, root, same).
 
-    Texts of the same words in the same order (128 bits of BLAKE2b over the words) form a class, named cid, a
-    number.  n_links counts the documents of other classes at similarity threshold or above, root names the
+    Texts of the same words in the same order (128 bits of BLAKE2b over the words, s1 and s2) form a class,
+    named cid, a number; one is its row of the least doc_id (null last), then of the least rk, first that doc_id.  n_links counts the documents of other classes at similarity threshold or above, root names the
     component of classes that links join, same the least of the classes with the very same n-grams.
 
     Candidates come from MinHash bands: the classes of a bucket meet in the star of its hub, see hubs_of().  So
@@ -212,14 +213,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
                 yield pa.RecordBatch.from_arrays(columns, schema=signed)
 
     signatures = cut(map_arrow(base, sign, f"rk {RK_SQL}, doc_id long, s1 long, s2 long, bytes long, bands array<long>"), "signatures")
-    classes = signatures.groupBy("s1", "s2").agg(F.min("rk").alias("one"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"))
+    classes = signatures.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk", "bands")).alias("one"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"))
     # Numbered once and for all: the table is written.
-    classes = cut(classes.select("s1", "s2", "one", "copies", "bytes", F.monotonically_increasing_id().alias("cid")), "classes")
-    rows = signatures.select("rk", "doc_id", "s1", "s2").join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).select("rk", "doc_id", "cid")
-    chosen = signatures.select("rk", "bands").join(classes.select(F.col("one").alias("rk"), "cid"), "rk")
-    stars = hubs_of(chosen.select("cid", F.explode("bands").alias("band")), classes.select("cid", "bytes"))
-    stars = stars.join(classes.select("cid", "one", "copies"), "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    stars = cut(stars.select(F.col("one").alias("rk"), "cid", "copies", "hub", "below", "blocks", "block"), "members")
+    classes = cut(classes.select("s1", "s2", F.col("one.rk").alias("one"), F.col("one.doc_id").alias("first"), "one.bands", "copies", "bytes", F.monotonically_increasing_id().alias("cid")), "classes")
+    stars = hubs_of(classes.select("cid", F.col("one").alias("rk"), "copies", "bytes", "bands"))
+    stars = cut(stars.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "members")
     # Each class's text goes to the tasks of its stars' pairs of blocks.
     # members grow with the corpus and are never broadcast, so the plan is one at every size
     texts = base.select("rk", "text").join(stars.hint("merge"), "rk").drop("rk")
@@ -292,7 +290,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     verified = cut(map_arrow(texts, verify, "cid long, links long, up long, same long"), "links")
     linked = verified.groupBy("cid").agg(F.sum("links").alias("n_links"), F.min("same").alias("same"))
     roots = components(verified.select("cid", "up"), "cid", "up")
-    return rows, linked.join(roots, F.col("cid") == F.col("node")).select("cid", "n_links", "root", "same")
+    links = linked.join(roots, F.col("cid") == F.col("node")).select("cid", "n_links", "root", "same")
+    return signatures.select("rk", "doc_id", "s1", "s2"), classes.select("s1", "s2", "cid", "copies", "one", "first"), links
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -305,15 +304,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     copies of each other and have no other links.  A null doc_id comes last and is counted like others.  Equal
     rows are documents like others.  Other columns are ignored; an empty table gives no rows.
     """
-    rows, links = near_duplicates(docs, n, threshold, doc_id=doc_id, text=text, **options)
-    classes = rows.groupBy("cid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    rows, classes, links = near_duplicates(docs, n, threshold, doc_id=doc_id, text=text, **options)
     whole = classes.join(links, "cid", "left").withColumn("root", F.coalesce("root", "cid")).withColumn("same", F.coalesce("same", "cid"))
     firsts = whole.groupBy("root").agg(F.min("first").alias("class_id"))
     sames = whole.groupBy("same").agg(F.min("first").alias("copy_id"))
     links_of = (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     # Written, so that both sides of the join are plain tables: the planner can then split a hot class's rows.
-    whole = cut(whole.join(firsts, "root").join(sames, "same").select("cid", "class_id", "copy_id", links_of), "labels")
-    return rows.join(whole, "cid").select("doc_id", "class_id", "copy_id", "n_links")
+    whole = cut(whole.join(firsts, "root").join(sames, "same").select("s1", "s2", "class_id", "copy_id", links_of), "labels")
+    return rows.join(whole, ["s1", "s2"]).select("doc_id", "class_id", "copy_id", "n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -322,7 +320,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Documents without words are kept only once, as copies of each other.
     """
     docs = stored(docs)
-    rows, links = near_duplicates(docs, **options)
-    rooted = rows.join(links.select("cid", "root"), "cid", "left").select("rk", "doc_id", F.coalesce("root", "cid").alias("root"))
-    best = cut(rooted.groupBy("root").agg(F.min_by("rk", F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("rk")).select("rk"), "kept")
+    _, classes, links = near_duplicates(docs, **options)
+    rooted = classes.join(links.select("cid", "root"), "cid", "left").select("one", "first", F.coalesce("root", "cid").alias("root"))
+    best = cut(rooted.groupBy("root").agg(F.min_by("one", F.struct(F.col("first").isNull(), "first", "one")).alias("rk")).select("rk"), "kept")
     return numbered(docs, row=F.struct(*docs.columns)).join(best, "rk", "left_semi").select("row.*")

@@ -2,6 +2,7 @@
 
 import random
 
+from colonnade.llm import _shared
 from colonnade.llm._shared import components, cut
 
 
@@ -30,6 +31,16 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Edges that are stars take no round, a chain of three nodes one: no round is made only to see that nothing changes."""
+    written = []
+    monkeypatch.setattr(_shared, "cut", lambda df, name, done=None: written.append(name) or cut(df, name, done))
+    for edges, rounds in (([(5, 1), (1, 7), (9, 2)], 0), ([(1, 2), (2, 3)], 1)):
+        written.clear()
+        assert sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect())) == plain(edges)
+        assert written == ["edges"] * (1 + rounds) + ["roots"]
+
+
 def test_cut(spark):
     df = cut(spark.range(5), "test")
     assert sorted(r.id for r in df.collect()) == list(range(5))
