@@ -48,6 +48,11 @@ COLLECT_EVERY = 8
 _tables = itertools.count(1)
 
 
+def drop_finished(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and broadcasts of finished plans: it does when the driver's collector finds them unused."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame, name: str, done: DataFrame | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
@@ -55,8 +60,7 @@ def cut(df: DataFrame, name: str, done: DataFrame | None = None) -> DataFrame:
     planner sees whether it may be broadcast.  It is removed when the driver's process ends.  done is an
     earlier result of cut() that nothing but df reads: it is removed as soon as df is written.
 
-    Spark drops the shuffle files and broadcasts of finished plans when the driver's collector finds them
-    unused.  Loops that write make many plans, so the collector runs after every COLLECT_EVERY tables.
+    Loops that write make many plans, so drop_finished() runs after every COLLECT_EVERY tables.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/colonnade-{name}-{uuid.uuid4().hex}"
@@ -65,7 +69,7 @@ def cut(df: DataFrame, name: str, done: DataFrame | None = None) -> DataFrame:
     if done is not None:
         _remove(spark, done._written)
     if next(_tables) % COLLECT_EVERY == 0:
-        spark.sparkContext._jvm.System.gc()
+        drop_finished(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import RK, RK_SQL, cut, map_arrow, numbered
+from ._shared import RK, RK_SQL, cut, drop_finished, map_arrow, numbered
 
 #: Rows of a batch that is given back at once, by bytes of text.
 PIECE = 1 << 21
@@ -89,11 +89,13 @@ def dedup_lines(docs: DataFrame, divisor: int = 2, doc_id: str = "doc_id", text:
 
     chunk = map_arrow(base, chunks, f"doc_id long, rk {RK_SQL}, k int, bytes string").withColumn("h", F.xxhash64("bytes"))
     again = cut(chunk.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-hashes")
-    again = cut(chunk.join(again, "h", "left_semi"), "line-chunks")
+    # What is joined here grows with the corpus and is never broadcast, so the plan is one at every size.
+    again = cut(chunk.join(again.hint("merge"), "h", "left_semi"), "line-chunks", again)
     place = F.struct("doc_id", "rk", "k")
     # Written, so that both sides of the join are plain tables: the planner can then split the rows of a hot chunk.
     groups = cut(again.groupBy("bytes").agg(F.min(place).alias("kept_at"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-groups")
-    gone = again.join(groups, "bytes").where(~place.eqNullSafe(F.col("kept_at")))
-    gone = cut(gone.groupBy("rk").agg(F.collect_set("k").alias("gone")), "line-gone")
-    joined = base.join(gone, "rk", "left").select("doc_id", "text", "gone")
+    gone = again.join(groups.hint("merge"), "bytes").where(~place.eqNullSafe(F.col("kept_at")))
+    gone = cut(gone.groupBy("rk").agg(F.collect_set("k").alias("gone")), "line-gone", again)
+    drop_finished(docs.sparkSession)  # the chunks' shuffle files, before the texts are shuffled
+    joined = base.join(gone.hint("merge"), "rk", "left").select("doc_id", "text", "gone")
     return map_arrow(joined, remove, "doc_id long, n_lines long, n_removed long, n_chunks_removed long, kept string")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from colonnade.llm import jaccard, substring
+from colonnade.llm import jaccard, lines, substring
 from colonnade.llm.exact import exact_duplicates, radix_groups
 from colonnade.llm.jaccard import jaccard_classes, keep_one
 from colonnade.llm.lines import dedup_lines, line_chunks
@@ -64,6 +64,24 @@ def test_lines(spark, docs, none, corpus):
     assert dedup_lines(none).count() == 0
 
 
+def joins(module, operator, docs, monkeypatch):
+    """How many joins of each kind the operator plans, in the tables that it writes and in its result."""
+    plans, cut = [], module.cut
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(module, "cut", lambda df, *more: plan(df) or cut(df, *more))
+    out = operator(docs)
+    plan(out)
+    return Counter(re.findall(r"(Broadcast|SortMerge|Shuffled|Nested)\w*Join", "\n".join(plans))), out
+
+
+def test_lines_plan_is_one_at_every_size(spark, tmp_path, monkeypatch):
+    """Nothing that grows with the corpus is broadcast, even when it is small."""
+    spark.createDataFrame([(k, "\n".join(f"line {i}" for i in range(30))) for k in range(4)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/rows")
+    kinds, out = joins(lines, dedup_lines, spark.read.parquet(f"file://{tmp_path}/rows"), monkeypatch)
+    assert kinds == {"SortMerge": 3}
+    assert sorted(r.n_removed > 0 for r in out.collect()) == [False, True, True, True]
+
+
 def test_chunk_boundaries_shift():
     lines = [f"text {k}" for k in range(200)]
     whole = {tuple(lines[a:b]) for a, b in line_chunks(lines)}
