@@ -22,18 +22,19 @@ def radix_groups(rows: DataFrame, first_bytes: int = 64, growth: int = 8) -> Dat
     Groups are compared by the bytes themselves; no digest decides.  A round's groups are counted with map-side
     partial sums, written and numbered; rows then meet their group's number by an equi-join on (group, digit),
     of which both sides are plain tables, so that the planner can split a hot group's rows over many tasks.
+    Group tables grow with the corpus and are never broadcast, so the plan is one at every size.
     Singletons leave at once and carry no bytes into the next round.  rk must be one row's alone.
     """
     digit = F.substring("key", 1, first_bytes)
     heads = rows.groupBy(digit.alias("digit")).agg(F.count("*").alias("c")).where("c > 1")
     heads = cut(heads.select("digit", F.monotonically_increasing_id().alias("gid")), "digits")
-    active = rows.withColumn("digit", digit).join(heads, "digit").select("rk", "doc_id", "n", "gid", F.expr(f"substring(key, {first_bytes + 1})").alias("key"))
+    active = rows.withColumn("digit", digit).join(heads.hint("merge"), "digit").select("rk", "doc_id", "n", "gid", F.expr(f"substring(key, {first_bytes + 1})").alias("key"))
     active, done, step = cut(active, "radix", heads), None, first_bytes * growth
     while True:
         keyed = active.withColumn("digit", F.substring("key", 1, step))
         groups = keyed.groupBy("gid", "digit").agg(F.count("*").alias("c"), F.max(F.length("key") > step).alias("more")).where("c > 1")
         groups = cut(groups.select("gid", "digit", "more", F.monotonically_increasing_id().alias("next")), "digits")
-        split = keyed.join(groups, ["gid", "digit"]).select("rk", "doc_id", "n", F.col("next").alias("gid"), F.lit(step).alias("step"), "more", F.expr(f"substring(key, {step + 1})").alias("key"))
+        split = keyed.join(groups.hint("merge"), ["gid", "digit"]).select("rk", "doc_id", "n", F.col("next").alias("gid"), F.lit(step).alias("step"), "more", F.expr(f"substring(key, {step + 1})").alias("key"))
         split = cut(split, "radix", groups)
         ended = split.where(~F.col("more")).select("rk", "doc_id", "n", F.struct("step", "gid").alias("gid"))  # each round numbers anew
         done = ended if done is None else done.unionByName(ended)
@@ -57,8 +58,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     members = cut(radix_groups(base), "members")
     best = F.max_by("doc_id", F.struct("n", F.bitwise_not(F.col("doc_id"))))
     groups = cut(members.groupBy("gid").agg(F.count("*").alias("group_size"), best.alias("keep_id")), "groups")
-    labels = members.select("rk", "gid").join(groups, "gid").select("rk", "group_size", "keep_id")
-    out = base.select("doc_id", "rk", F.sha2("key", 256).alias("text_sha256")).join(labels, "rk", "left")
+    labels = members.select("rk", "gid").join(groups.hint("merge"), "gid").select("rk", "group_size", "keep_id")
+    out = base.select("doc_id", "rk", F.sha2("key", 256).alias("text_sha256")).join(labels.hint("merge"), "rk", "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from colonnade.llm import jaccard, lines, substring
+from colonnade.llm import exact, jaccard, lines, substring
 from colonnade.llm.exact import exact_duplicates, radix_groups
 from colonnade.llm.jaccard import jaccard_classes, keep_one
 from colonnade.llm.lines import dedup_lines, line_chunks
@@ -32,6 +32,13 @@ def test_exact(docs, none, corpus):
     assert exact_duplicates(none).count() == 0
 
 
+def test_exact_plan_is_one_at_every_size(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, f"{k % 3} {'x' * 100}") for k in range(7)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/rows")
+    kinds, out = joins(exact, exact_duplicates, spark.read.parquet(f"file://{tmp_path}/rows"), monkeypatch)
+    assert set(kinds) == {"SortMerge"}
+    assert sorted((r.keep_id, r.group_size) for r in out.collect()) == [(0, 3)] * 3 + [(1, 2)] * 2 + [(2, 2)] * 2
+
+
 def test_radix_digits(spark):
     """Short digits, so that keys end at, before and after digits' ends and share long prefixes."""
     keys = ["", "", "a", "ab", "ab", "abc", "abcd", "abcd", "abcdabcdabcdabcdx", "abcdabcdabcdabcdx", "abcdabcdabcdabcdy", "abcdabcdabcdabcd"]
